@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality_classifier, simhash, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,5 +21,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def crc_mod(doc_id: F.Column, parts: int) -> F.Column:
+    """crc32 of the id as text, modulo parts; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+def _scored(docs: DataFrame, score: F.Column, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+QUALITY_THRESHOLD = 0.3
+TOXIC_THRESHOLD = 0.5
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    weights = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0)
+    return _scored(docs, quality_classifier.score(spark, F.col("text"), weights), QUALITY_THRESHOLD)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, read(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0)
+    return _scored(docs, toxicity.score(spark, F.col("text"), weights), TOXIC_THRESHOLD)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+}
 ORACLES: dict[str, str] = {}
