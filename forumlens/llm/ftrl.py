@@ -33,11 +33,11 @@ class FTRL:
         w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, index: np.ndarray, value: np.ndarray, label: int) -> None:
-        """One update; index must be distinct."""
+    def learn(self, index: np.ndarray, value: np.ndarray, label: int, importance: float = 1.0) -> None:
+        """One update, its gradient multiplied by ``importance``; index must be distinct."""
         z, n = self.z[index], self.n[index]
         w = self._solve(z, n)
-        gradient = (sigmoid(float(w @ value)) - label) * value
+        gradient = importance * (sigmoid(float(w @ value)) - label) * value
         squared = gradient * gradient
         sigma = (np.sqrt(n + squared) - np.sqrt(n)) / self.alpha
         self.z[index] = z + gradient - sigma * w
@@ -68,11 +68,37 @@ def training_rows(
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "rank")
 
 
-def train(rows: DataFrame, featurize: Featurizer, bits: int, epochs: int, **rates) -> np.ndarray:
-    """Weights for (id, text, label, rank) rows, learned in the order of rank.
+def learn_weights(
+    examples: list, bits: int, epochs: int, min_seen: int, positive_importance: float, **rates
+) -> np.ndarray:
+    """Weights from (index, value, label) examples, in their order, ``epochs`` times over.
 
-    Without rows of both labels the weights are zero and every score is neutral.
+    Features of fewer than ``min_seen`` examples are left out, which keeps the state small; without
+    both labels all weights are zero.
     """
+    out = np.zeros(1 << bits, np.float32)
+    if len({label for *_, label in examples}) < 2:
+        return out
+    seen = np.zeros(1 << bits, np.int32)
+    for index, _, _ in examples:
+        seen[index] += 1
+    kept = np.flatnonzero(seen >= min_seen)
+    place = np.full(1 << bits, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    dense = []
+    for index, value, label in examples:
+        at = place[index]
+        dense.append((at[at >= 0], value[at >= 0].astype(np.float64), label))
+    model = FTRL(len(kept), **rates)
+    for _ in range(epochs):
+        for index, value, label in dense:
+            model.learn(index, value, label, positive_importance if label else 1.0)
+    out[kept] = model.weights()
+    return out
+
+
+def train(rows: DataFrame, featurize: Featurizer, bits: int, **settings) -> np.ndarray:
+    """Weights for (id, text, label, rank) rows, learned in the order of rank by one task."""
 
     def run(batches):
         examples, seen = [], set()
@@ -82,12 +108,8 @@ def train(rows: DataFrame, featurize: Featurizer, bits: int, epochs: int, **rate
                     seen.add(row)
                     index, value, _ = featurize([text])
                     examples.append((index.astype(np.int32), value.astype(np.float32), label))
-        model = FTRL(1 << bits, **rates)
-        if len({x[2] for x in examples}) == 2:
-            for _ in range(epochs):
-                for example in examples:
-                    model.learn(*example)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()], pa.binary())], ["weights"])
+        weights = learn_weights(examples, bits, **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     one = rows.repartition(1).sortWithinPartitions("rank", "id", "text").select("id", "text", "label")
     return np.frombuffer(one.mapInArrow(run, "weights binary").first()[0], np.float32)

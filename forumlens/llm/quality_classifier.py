@@ -22,8 +22,15 @@ from .tokens import CodeCache, chunks, crc, gap_pairs, pair, spread, word_codes
 
 BITS = 20
 SAMPLE_ROWS = 6000
-EPOCHS = 3
-RATES = {"alpha": 2.0, "beta": 1.0, "l1": 0.002, "l2": 0.001}
+SETTINGS = {
+    "epochs": 3,
+    "min_seen": 2,
+    "positive_importance": 1.0,
+    "alpha": 2.0,
+    "beta": 1.0,
+    "l1": 0.002,
+    "l2": 0.001,
+}
 SCALE = 30.0
 
 
@@ -80,7 +87,7 @@ def fit(
 ) -> np.ndarray:
     """Weights learned from at most ``sample_rows`` labelled rows whose ``id`` is ``eligible``."""
     rows = ftrl.training_rows(docs, labels, label, id_col, text_col, eligible, sample_rows)
-    return ftrl.train(rows, features, BITS, EPOCHS, **RATES)
+    return ftrl.train(rows, features, BITS, **SETTINGS)
 
 
 def score_texts(texts: list, weights: np.ndarray) -> np.ndarray:

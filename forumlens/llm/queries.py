@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, simhash, toxicity
+from . import fertility, quality_classifier, simhash, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality_classifier.score(spark, F.col("text"), weights), QUALITY_THRESHOLD)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     weights = toxicity.fit(docs, read(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0)
@@ -51,6 +55,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
 }
 ORACLES: dict[str, str] = {}

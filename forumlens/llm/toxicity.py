@@ -22,8 +22,15 @@ from .tokens import CodeCache, chunks, crc, gap_pairs, spread, word_codes
 
 BITS = 22
 SAMPLE_ROWS = 10_000
-EPOCHS = 4
-RATES = {"alpha": 0.5, "beta": 1.0, "l1": 1.0, "l2": 0.01}
+SETTINGS = {
+    "epochs": 4,
+    "min_seen": 3,
+    "positive_importance": 6.0,  # toxic rows are rare among the labelled ones
+    "alpha": 2.0,
+    "beta": 1.0,
+    "l1": 20.0,
+    "l2": 0.01,
+}
 BIAS = 0
 
 
@@ -92,7 +99,7 @@ def fit(
 ) -> Weights:
     """Weights learned from at most ``sample_rows`` labelled rows whose ``id`` is ``eligible``."""
     rows = ftrl.training_rows(docs, labels, label, id_col, text_col, eligible, sample_rows)
-    return Weights(ftrl.train(rows, features, BITS, EPOCHS, **RATES))
+    return Weights(ftrl.train(rows, features, BITS, **SETTINGS))
 
 
 def score(spark, text: Column, weights: Weights) -> Column:
