@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, quality_classifier, simhash, toxicity
+from . import fertility, pii, quality_classifier, simhash, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,10 +52,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(spark, F.col("text"), weights), TOXIC_THRESHOLD)
 
 
+def pii_digest(docs: DataFrame) -> DataFrame:
+    def joined(spans: str) -> str:
+        return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+    base = [k.name for k in pii.KINDS if k.base]
+    return pii.find_pii(docs).selectExpr(
+        "id as doc_id",
+        *(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint) as n_{k}" for k in base),
+        f"sha2({joined(f'filter(spans, s -> s.rank < {len(base)})')}, 256) as base_sha256",
+        f"{joined('spans')} as spans",
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
 }
 ORACLES: dict[str, str] = {}
