@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, pii, quality_classifier, simhash, toxicity
+from . import fertility, language_id, license_scan, pii, quality_classifier, simhash, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,11 +69,25 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    filters = language_id.fit(docs, crc_mod(F.col("id"), 4) != 2)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(spark, F.col("text"), filters).alias("m"))
+    return found.select("doc_id", "held_out", "m.*")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
