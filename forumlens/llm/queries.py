@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, pii, quality_classifier, simhash, toxicity
+from . import (
+    decontamination,
+    fertility,
+    language_id,
+    license_scan,
+    pii,
+    quality_classifier,
+    sentencepiece_codec,
+    simhash,
+    toxicity,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +79,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of the whole text, how many they are, and whether decoding gives the text back."""
+    codes = read(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_codec.encode(F.col("text")).alias("ids"))
+    back = codes.withColumn("back", sentencepiece_codec.decode(F.col("ids")))
+    return back.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("text").eqNullSafe(F.col("back")).alias("round_trip")
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -81,13 +100,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "m.*")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, whether it contains a benchmark item, the best covered item and all items found."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_matches(docs, read(spark, sf_dir, "benchmark"), "found")
+    best = F.array_sort(F.transform("found", lambda m: F.struct((-m["coverage"]).alias("c"), m["item_id"].alias("i"))))
+    return found.select(
+        "doc_id",
+        (F.size("found") > 0).alias("contaminated"),
+        F.get(best, 0)["i"].alias("item_id"),
+        F.coalesce(-F.get(best, 0)["c"], F.lit(0.0)).alias("coverage"),
+        F.array_sort(F.col("found.item_id")).alias("item_ids"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
