@@ -10,6 +10,7 @@ from . import (
     fertility,
     language_id,
     license_scan,
+    line_dedup,
     pii,
     quality_classifier,
     sentencepiece_codec,
@@ -79,6 +80,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its lines that take part, how many repeat or are linked, and each line's class and links."""
+    return line_dedup.LineClasses(read(spark, sf_dir, "documents")).by_document().withColumnRenamed("id", "doc_id")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the whole text, how many they are, and whether decoding gives the text back."""
     codes = read(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_codec.encode(F.col("text")).alias("ids"))
@@ -120,6 +126,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,

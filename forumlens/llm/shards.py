@@ -14,7 +14,10 @@ from .workspace import Workspace
 
 
 def shard_groups(keyed: DataFrame, keys: list[str], row_id: Column, shard_rows: int, work: Workspace, name: str) -> DataFrame:
-    """Adds (_i, _j) to the rows of keys with two or more rows; rows of other keys go.
+    """Adds (_i, _j, _own) to the rows of keys with two or more rows; rows of other keys go.
+
+    _own is the row's own shard; pairs of rows of one shard meet in every group of it, so to see each
+    pair once take the pairs of one shard where _i = _j only.
 
     ``keyed`` must be cheap to read twice (a table). The sizes of the shared keys, a small table, are
     written first.
@@ -28,5 +31,5 @@ def shard_groups(keyed: DataFrame, keys: list[str], row_id: Column, shard_rows:
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)))
         .withColumn("_i", F.least("_own", "_other"))
         .withColumn("_j", F.greatest("_own", "_other"))
-        .drop("_n", "_shards", "_own", "_other")
+        .drop("_n", "_shards", "_other")
     )
