@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import CHUNK_BYTES, chunks
 
@@ -149,6 +152,8 @@ class Codec:
         self.trie = DoubleArray({p.encode(): i for p, i in vocabulary.pieces.items()})
         self.scores = vocabulary.scores
         self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
+        if self.trie.longest > 63:
+            raise ValueError("pieces of up to 63 bytes are supported")
         self.longest_gap = float(np.abs(self.scores).max()) + BYTE_PENALTY
         self._forget()
 
@@ -165,13 +170,19 @@ class Codec:
             out += [MARKER + s for s in _SEGMENT.findall(marked if i else MARKER + marked) if s]
         return out
 
-    def _fill(self, keys: list[str]) -> None:
-        """Encodes segments that aren't known yet."""
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Where the ids of each segment are; segments that aren't known yet are encoded together."""
         if len(self.place) > MAX_CACHED:
             self._forget()
-        fresh = [k for k in dict.fromkeys(keys) if k not in self.place]
-        if not fresh:
-            return
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [keys[i] for i in missing.tolist()]
+            self._fill(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(unknown))
+        return at
+
+    def _fill(self, fresh: list[str]) -> None:
         long = [k for k in fresh if len(k) > LONG]
         short = [k for k in fresh if len(k) <= LONG]
         ids, sizes = self._viterbi([_marked(k) for k in short])
@@ -259,7 +270,7 @@ class Codec:
         # fill in by place within the segment, then by length: the targets of a group differ, and
         # among equal scores the longest piece comes first and stays
         inside = frm - np.repeat(start, size)[frm]
-        group = inside * 64 + length
+        group = (inside * 64 + length).astype(np.uint16)  # LONG bounds the place, the model the length
         order = np.argsort(group, kind="stable")
         group = group[order]
         node = np.arange(total) + np.repeat(np.arange(len(raw)), size)  # one place more for each segment
@@ -268,7 +279,7 @@ class Codec:
         best = np.full(total + len(raw), -np.inf)
         back_len, back_id = np.zeros(total + len(raw), np.int32), np.full(total + len(raw), -1, np.int32)
         best[start + np.arange(len(raw))] = 0.0
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             to, value = target[lo:hi], best[source[lo:hi]] + score[lo:hi]
             better = value > best[to]
@@ -300,19 +311,21 @@ class Codec:
         per = np.bincount(which, many, len(raw)).astype(np.int64)
         return flat.astype(np.int32), per
 
+    def encode_part(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after another, and where each text's ids end."""
+        split = [self._segments(t) if t else [] for t in texts]
+        every = [k for own in split for k in own]
+        at = self._places(every)
+        first, size = self.start[at], self.start[at + 1] - self.start[at]
+        total = int(size.sum())
+        ids = self.flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)]
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(own) for own in split])]
+
     def encode(self, texts: list) -> list[np.ndarray | None]:
         out = []
         for part in chunks(texts, CHUNK_BYTES):
-            split = [self._segments(t) if t else [] for t in part]
-            every = [k for own in split for k in own]
-            self._fill(every)
-            at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-            first, size = self.start[at], self.start[at + 1] - self.start[at]
-            total = int(size.sum())
-            ids = self.flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)]
-            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(own) for own in split])]
-            for t, piece in zip(part, np.split(ids, ends[:-1])):
-                out.append(None if t is None else piece)
+            ids, ends = self.encode_part(part)
+            out += [None if t is None else x for t, x in zip(part, np.split(ids, ends[:-1]))]
         return out
 
     def decode(self, ids) -> str | None:
@@ -329,14 +342,33 @@ def codec(model_file: str = MODEL) -> Codec:
     return _state[model_file]
 
 
-def encode(text: Column, model_file: str = MODEL) -> Column:
-    """The ids of each whole text."""
+def encoded(
+    docs: DataFrame, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip", model_file: str = MODEL
+) -> DataFrame:
+    """The rows with the ids of each whole text, and whether decoding them gives the text back.
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(model_file).encode(list(texts)))
+    Columns of the two names are replaced. Rows leave in batches of about CHUNK_BYTES of text.
+    """
+    rows = docs.drop(ids_col, check_col)
+    place = rows.columns.index(text_col)
+    names = [*rows.columns, ids_col, check_col]
 
-    return run(text.cast("string"))
+    def run(batches):
+        own = codec(model_file)
+        for batch in batches:
+            at = 0
+            for part in chunks(batch.column(place).to_pylist(), CHUNK_BYTES):
+                ids, ends = own.encode_part(part)
+                starts = np.concatenate([[0], ends[:-1]])
+                same = [t is None or own.decode(ids[a:b].tolist()) == t for t, a, b in zip(part, starts.tolist(), ends.tolist())]
+                offsets = pa.array(np.concatenate([starts, ends[-1:]]), pa.int32(), mask=np.array([*(t is None for t in part), False]))
+                coded = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                cut = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*cut.columns, coded, pa.array(same, pa.bool_())], names)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(check_col, T.BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def decode(ids: Column, model_file: str = MODEL) -> Column:

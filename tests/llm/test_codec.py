@@ -83,7 +83,8 @@ def test_trie_finds_exactly_its_keys():
 def test_round_trip_in_spark(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "a  b\n\tc▁d ☃ 中文 𝔘"), (5, "word " * 20000), (5, "▁"), (None, "x" * 5000)]
     df = spark.createDataFrame([(i, t, [1]) for i, t in rows], "doc_id long, text string, ids array<int>")
-    got = df.select("doc_id", "text", sp.encode(F.col("text")).alias("codes")).withColumn("back", sp.decode(F.col("codes"))).collect()
+    got = sp.encoded(df).withColumn("back", sp.decode(F.col("ids"))).collect()
     assert len(got) == len(rows)
-    assert all(r.text == r.back for r in got)
-    assert df.limit(0).select(sp.encode(F.col("text")).alias("c")).count() == 0
+    assert all(r.text == r.back and r.round_trip for r in got)
+    assert sorted((r.text is None, r.ids is None) for r in got) == [(False, False)] * 6 + [(True, True)]
+    assert sp.encoded(df.limit(0)).count() == 0
