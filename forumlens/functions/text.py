@@ -152,7 +152,7 @@ def page_number(slug: str, pages: int) -> int | None:
     return pages - n + 1 if n is not None and n <= pages else None
 
 
-def next_interval(current: Column, new: Column, low: int = 60, high: int = 3600) -> Column:
+def next_interval(current: Column, new: Column, low: int = 120, high: int = 604800) -> Column:
     return F.when(new, low).otherwise(F.least(current * 2, F.lit(high)))
 
 

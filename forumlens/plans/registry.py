@@ -340,3 +340,200 @@ def board_pages(t, now):
     rows = t["boards"].join(counts, F.col("id") == F.col("board_id"), "left")
     pages = X.total_pages(F.coalesce("n", F.lit(0)), 30)
     return rows.select("name", pages.alias("pages"), X.board_page_href(F.col("name"), pages, F.lit(2)).alias("second"))
+
+
+# writes: a transition of the adapter's tables, its result against the same rule in SQL
+
+_ARTICLES = "id, board_id, url_id, posted_at, title, net_count, deleted_at"
+
+
+def _with_schema(t, name):
+    """The adapter's rows with every column of the stored table."""
+    from ..schemas import TABLES
+
+    df = t[name]
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].schema))
+
+
+@query(
+    "upsert_articles",
+    f"""select id, board_id, url_id, posted_at, case when id % 50 = 1 then 'edited' else title end as title,
+        case when id % 50 = 1 then net_count + 1 else net_count end as net_count,
+        case when id % 50 = 1 then null else deleted_at end as deleted_at,
+        case when id % 50 = 1 then {{now}} else last_fetched_at end as last_fetched_at from articles
+        union all select (select max(id) from articles) + id, id, 'M.1.A.NEW', null, 'new', 0, null, {{now}} from boards""",
+)
+def upsert_articles(t, now):
+    from ..operators import state as S
+
+    changed = t["articles"].where("id % 50 = 1").select("board_id", "url_id", F.lit("edited").alias("title"), (F.col("net_count") + 1).alias("net_count"))
+    new = t["boards"].select(F.col("id").alias("board_id"), F.lit("M.1.A.NEW").alias("url_id"), F.lit("new").alias("title"), F.lit(0).alias("net_count"))
+    out = S.upsert_articles(_with_schema(t, "articles"), changed.unionByName(new), now)
+    # ids of new rows follow their key; equal url_ids are ordered here by their board
+    top = t["articles"].agg(F.max("id").alias("top"))
+    rows = out.select("id", "board_id", "url_id", "posted_at", "title", "net_count", "deleted_at", "last_fetched_at").join(F.broadcast(top))
+    return rows.withColumn("id", F.when(F.col("url_id") == "M.1.A.NEW", F.col("top") + F.col("board_id")).otherwise(F.col("id"))).drop("top")
+
+
+@query(
+    "replace_pushes",
+    """select article_id, seq, tag, user_id, content from pushes where article_id % 7 <> 0
+       union all select distinct article_id, 0, '推', 'me', 'again' from pushes where article_id % 7 = 0""",
+)
+def replace_pushes(t, now):
+    from ..operators import state as S
+
+    touched = t["pushes"].where("article_id % 7 = 0").select("article_id").distinct()
+    fresh = touched.select("article_id", F.lit(0).cast("long").alias("seq"), F.lit("推").alias("tag"), F.lit("me").alias("user_id"), F.lit("again").alias("content"))
+    return S.replace_pushes(t["pushes"].drop("weight"), fresh, touched)
+
+
+@query(
+    "mark_deleted",
+    """select id, case when deleted_at is null and id % 9 = 0 then {now} else deleted_at end as deleted_at from articles""",
+)
+def mark_deleted(t, now):
+    from ..operators import state as S
+
+    return S.mark_deleted(t["articles"], t["articles"].where("id % 9 = 0"), now).select("id", "deleted_at")
+
+
+@query("resurrect", "select id, case when id % 20 <> 0 then deleted_at end as deleted_at from articles")
+def resurrect(t, now):
+    from ..operators import state as S
+
+    return S.resurrect(t["articles"], t["articles"].where("id % 20 = 0")).select("id", "deleted_at")
+
+
+@query(
+    "insight_errors",
+    """select article_id, tldr, case when article_id % 4 = 0 then 'llm status 500' else error end as error,
+       case when article_id % 4 = 0 then {now} else generated_at end as generated_at, schema_ver from article_insights
+       union all select id, '(分析失敗)', 'llm status 500', {now}, 1 from articles where id % 4 = 0 and id % 3 = 0""",
+)
+def insight_errors(t, now):
+    from ..operators import state as S
+
+    errors = t["articles"].where("id % 4 = 0").select(F.col("id").alias("article_id"), F.lit("llm status 500").alias("error"))
+    out = S.mark_insight_errors(_with_schema(t, "article_insights"), errors, now)
+    return out.select("article_id", "tldr", "error", "generated_at", "schema_ver")
+
+
+@query(
+    "release_claims",
+    "select id, cast(null as bigint) as backfill_claimed_at, (select count(*) from boards where backfill_claimed_at is not null) as released from boards",
+)
+def release_claims(t, now):
+    from ..operators import state as S
+
+    boards, released = S.release_claims(_with_schema(t, "boards"), now)
+    return boards.select("id", "backfill_claimed_at").join(F.broadcast(released))
+
+
+# ingest: the adapter's articles as a page listing
+
+_LISTED = """(select board_id, url_id, posted_at as url_timestamp, id % 13 = 5 as deleted, case when id % 6 = 0 then '!' else '' end as mark,
+    case when id % 4 = 0 then '9' else '' end as nrec_raw from articles where id % 3 <> 1)"""
+
+
+def _listing(t):
+    rows = t["articles"].where("id % 3 <> 1")
+    return rows.select(
+        "board_id", "url_id", F.col("posted_at").alias("url_timestamp"), F.expr("id % 13 = 5").alias("deleted"), F.lit(1).alias("page"),
+        F.expr("if(id % 6 = 0, '!', '')").alias("mark"), F.expr("if(id % 4 = 0, '9', '')").alias("nrec_raw"),
+    )
+
+
+@query(
+    "listing_bounds",
+    f"""select board_id, coalesce(min(url_timestamp) filter (not deleted and mark <> '!'), 0) as oldest,
+        coalesce(max(url_timestamp) filter (not deleted and url_id <> ''), 0) as newest from {_LISTED} l group by 1""",
+)
+def listing_bounds(t, now):
+    from ..operators import ingest as I
+
+    return I.oldest_time(_listing(t)).join(I.newest_time(_listing(t)), "board_id")
+
+
+@query(
+    "entry_actions",
+    f"""select l.board_id, l.url_id, false as insert, a.deleted_at is not null as resurrect, l.nrec_raw <> '' as refetch,
+        l.nrec_raw <> '' or a.mark is distinct from nullif(l.mark, '') as update_meta
+        from {_LISTED} l join articles a on a.board_id = l.board_id and a.url_id = l.url_id where not l.deleted and a.id % 8 <> 0
+        union all select l.board_id, l.url_id, true, false, false, false
+        from {_LISTED} l join articles a on a.board_id = l.board_id and a.url_id = l.url_id where not l.deleted and a.id % 8 = 0""",
+)
+def entry_actions(t, now):
+    from ..operators import ingest as I
+
+    known = t["articles"].where("id % 8 <> 0").withColumn("nrec_raw", F.lit(None).cast("string"))
+    return I.entry_actions(_listing(t), known).drop("article_id", "nrec_raw", "mark")
+
+
+@query(
+    "vanished_candidates",
+    f"""select a.board_id, a.url_id, a.url_timestamp from articles a
+        join (select board_id, min(url_timestamp) as oldest from {_LISTED} l where not deleted group by 1) o
+        on o.board_id = a.board_id and a.url_timestamp > o.oldest where a.{_LIVE} and not exists
+        (select 1 from {_LISTED} l where l.board_id = a.board_id and l.url_id = a.url_id and not l.deleted)""",
+)
+def vanished_candidates(t, now):
+    from ..operators import ingest as I
+
+    return I.vanished_candidates(t["articles"], _listing(t))
+
+
+@query(
+    "daily_counts",
+    """select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2""",
+)
+def daily_counts(t, now):
+    from ..streaming import ingest as SI
+
+    return SI.daily_counts(t["events"]).withColumn("value", F.round("value", 4))
+
+
+@query(
+    "event_entities",
+    """select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n, count(distinct user_id) as users from events group by 1""",
+)
+def event_entities(t, now):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return t["events"].groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query(
+    "document_excerpts",
+    """select doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 300) as excerpt, length(text) as length,
+       '標題：' || lang || chr(10) || chr(10) || '--- 文章內容 ---' || chr(10) ||
+       case when length(text) > 3000 then left(text, 3000) || chr(10) || '...(內容過長已截斷)' else text end || chr(10) || chr(10) || '--- 推文：（無）---' as prompt
+       from documents""",
+)
+def document_excerpts(t, now):
+    from ..functions import analysis as A
+
+    none = F.array().cast("array<struct<seq:bigint,tag:string,user_id:string,content:string>>")
+    return t["documents"].select(
+        "doc_id", X.excerpt(F.col("text")).alias("excerpt"), F.length("text").cast("long").alias("length"),
+        A.prompt(F.col("lang"), F.lit(None).cast("string"), F.col("text"), none).alias("prompt"),
+    )
+
+
+@query(
+    "conversation_turns",
+    """select conv_id, count(*) as turns, string_agg(role || ':' || length(text), '|' order by turn, role, text) as outline
+       from conversations group by 1""",
+)
+def conversation_turns(t, now):
+    rows = t["conversations"].groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
+    line = F.transform("r", lambda x: F.concat(x["role"], F.lit(":"), F.length(x["text"]).cast("string")))
+    return rows.select("conv_id", F.size("r").cast("long").alias("turns"), F.array_join(line, "|").alias("outline"))
+
+
+@query("page_contents")
+def page_contents(t, now):
+    from ..functions import html as H
+
+    return t["pages"].select("page_id", H.parse_web_page(F.col("html")).alias("p")).select(
+        "page_id", "p.title", F.size("p.links").cast("long").alias("n_links"), F.length("p.text").cast("long").alias("n_chars")
+    )
