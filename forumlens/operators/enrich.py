@@ -68,7 +68,8 @@ def analyze(prompts: DataFrame, completer: Completer = stub_completer, model: st
                         row["error"] = str(e)
                         break
                 rows.append(row)
-            out = pd.DataFrame(rows, columns=ANSWERS.names)
+            out = pd.DataFrame(rows, columns=ANSWERS.names, dtype=object)
+            out["article_id"] = out["article_id"].astype("int64")
             yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
     return prompts.mapInPandas(run, ANSWERS)
@@ -90,7 +91,8 @@ def digests(prompts: DataFrame, day: str, now: int, completer: Completer = stub_
                 content, asked, said = completer(prompt)
                 if content.strip():
                     rows.append((board_id, n, content.strip(), asked, said))
-            yield pd.DataFrame(rows, columns=["board_id", "article_count", "digest", "prompt_tokens", "completion_tokens"])
+            out = pd.DataFrame(rows, columns=["board_id", "article_count", "digest", "prompt_tokens", "completion_tokens"], dtype=object)
+            yield out.astype({c: "int64" for c in out.columns if c != "digest"})
 
     made = prompts.select("board_id", "article_count", "prompt").mapInPandas(run, schema)
     return made.select(
