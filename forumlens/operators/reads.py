@@ -349,7 +349,9 @@ def insight_queue(t: Tables, now: int, fresh_after: int, limit: int = 50, min_ne
     """Pending articles, then stale ones, with their pushes in order; a job instead of a query each."""
     rows = pending_articles(t, now, limit, min_net).withColumn("stale", F.lit(False))
     rows = rows.unionByName(stale_articles(t, now, fresh_after, limit, min_net).withColumn("stale", F.lit(True)))
-    return rows.join(ordered_pushes(t["pushes"]), F.col("id") == F.col("article_id"), "left").drop("article_id")
+    # two limits bound the queue, so it can be broadcast to keep only its own pushes
+    own = t["pushes"].join(F.broadcast(rows.select(F.col("id").alias("article_id"))), "article_id", "left_semi")
+    return rows.join(ordered_pushes(own), F.col("id") == F.col("article_id"), "left").drop("article_id")
 
 
 def state_counts(t: Tables, now: int) -> DataFrame:

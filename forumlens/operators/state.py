@@ -39,15 +39,25 @@ def merge(table: DataFrame, changes: DataFrame, key: tuple[str, ...], rules: dic
     return joined.select(*out)
 
 
+ID_BUCKETS = 1024
+
+
 def with_new_ids(table: DataFrame, key: str) -> DataFrame:
-    """Gives rows without an id one beyond the largest, in the order of the key.
+    """Gives rows without an id one beyond the largest, each id once.
 
-    The new rows of a batch only are numbered in one task.
+    Rows are numbered within hash buckets of the key, and buckets follow each other, so numbering runs
+    in as many tasks as there are buckets; only the bucket sizes, ID_BUCKETS rows at most, are summed
+    up in one place.
     """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = table.where("id is null").withColumn("_n", F.row_number().over(Window.orderBy(key)))
-    fresh = fresh.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_top", "_n")
-    return table.where("id is not null").unionByName(fresh.select(table.columns))
+    fresh = table.where("id is null").withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)))
+    sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
+    numbered = numbered.join(F.broadcast(offsets), "_bucket").join(F.broadcast(top))
+    numbered = numbered.withColumn("id", F.col("_top") + F.col("_offset") + F.col("_n"))
+    return table.where("id is not null").unionByName(numbered.select(table.columns))
 
 
 # boards

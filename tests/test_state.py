@@ -22,10 +22,11 @@ def test_boards_round_trip(spark, tmp_path):
     store = S.Store(spark, str(tmp_path))
     found = spark.createDataFrame([("Go", "A > Go", "t", 7), ("Ba", None, None, None)], "name string, category_path string, title string, user_count long")
     store.commit(boards=S.upsert_boards(store.read("boards"), found, NOW))
-    once = listing(store.read("boards"), "id", "name", "title", "user_count", "next_check_at")
-    assert once == [(1, "Ba", None, None, NOW), (2, "Go", "t", 7, NOW)]
+    once = listing(store.read("boards"), "name", "title", "user_count", "next_check_at", "id")
+    assert [r[:4] for r in once] == [("Ba", None, None, NOW), ("Go", "t", 7, NOW)] and {r[4] for r in once} == {1, 2}
+    go = once[1][4]
     store.commit(boards=S.upsert_boards(store.read("boards"), found, NOW))
-    assert listing(store.read("boards"), "id", "name", "title", "user_count", "next_check_at") == once
+    assert listing(store.read("boards"), "name", "title", "user_count", "next_check_at", "id") == once
     # a second sighting without a path writes null over it; the crawl state stays
     seen = spark.createDataFrame([("Go", 9)], "name string, user_count long")
     boards = S.mark_hot(S.upsert_boards(store.read("boards"), seen, NOW + 5), ["Go"], NOW + 5)
@@ -38,8 +39,8 @@ def test_boards_round_trip(spark, tmp_path):
     assert S.claim_backfill_board(boards, 0, NOW + 21601)[1]["name"] == "Go"
     free, n = S.release_claims(boards, NOW)
     assert n.first().released == 1 and free.where("backfill_claimed_at is not null").isEmpty()
-    done = S.complete_backfill(free, [2], NOW)
-    assert listing(done.where("id = 2"), "backfill_complete", "window_floor") == [(True, 0)]
+    done = S.complete_backfill(free, [go], NOW)
+    assert listing(done.where(F.col("id") == go), "backfill_complete", "window_floor") == [(True, 0)]
 
 
 def test_window_moves_only_when_all_have_reached_it(spark):
