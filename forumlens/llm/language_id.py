@@ -148,8 +148,14 @@ def fit(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("id is not null and lang is not null and text is not null")
     rows = rows.where(eligible)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(3)), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_per_language)
+    # rows far behind in a language's order go before the ranking, so a frequent language isn't gathered
+    span = 1 << 40
+    keyed = rows.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(span)).alias("hash"))
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("all"))
+    # a row for each language, as many as the filters themselves hold
+    ahead = keyed.join(F.broadcast(sizes), "lang").where(F.col("hash") * F.col("all").cast("double") <= span * (1.5 * sample_per_language + 100))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "id")
+    chosen = ahead.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_per_language)
     ids = [r.id for r in chosen.select("id").distinct().collect()]  # bounded by the sample
     languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not ids:
