@@ -193,6 +193,14 @@ def entity_timeline(t: Tables, query: str, days: int = 60, distinct: bool = Fals
     return by_day.orderBy(F.desc("day")).limit(days)
 
 
+def timeline_bars(timeline: DataFrame) -> DataFrame:
+    """Oldest first, with the widths of each day's positive and negative bar in percent of the busiest day."""
+    top = F.greatest(F.max("articles").over(Window.partitionBy()), F.lit(1))  # the days shown only
+    whole = F.round(100.0 * F.col("articles") / top).cast("long")
+    out = timeline.withColumn("total_pct", whole).withColumn("pos_pct", F.round(F.col("total_pct") * (1 + F.col("sentiment")) / 2).cast("long"))
+    return out.withColumn("neg_pct", F.col("total_pct") - F.col("pos_pct")).orderBy("day")
+
+
 def entity_articles(t: Tables, query: str, limit: int = 50, distinct: bool = False) -> DataFrame:
     rows = _entity_rows(t, query, distinct).join(_boards(t), "board_id")
     out = rows.select(

@@ -142,6 +142,13 @@ query(
     f"""select {_DAY.format('posted_at')} as day, count(*) as articles, round(sum(s) / count(*), 9) as sentiment
         from (select distinct a.id, a.posted_at, {_SIGN} as s {_ENTITY} where {_NAMES}) group by 1 order by 1 desc limit 60""",
 )(lambda t, now: R.entity_timeline(t, ENTITY, distinct=True).withColumn("sentiment", F.round("sentiment", 9)))
+query(
+    "timeline_bars",
+    f"""select *, total_pct - pos_pct as neg_pct from (select *, cast(round(total_pct * (1 + s) / 2) as bigint) as pos_pct from (
+        select day, articles, sentiment as s, cast(round(100.0::double * articles / greatest(max(articles) over (), 1)) as bigint) as total_pct from
+        (select {_DAY.format('a.posted_at')} as day, count(*) as articles, sum({_SIGN}) / count(*) as sentiment
+         {_ENTITY} where {_NAMES} group by 1 order by 1 desc limit 60)))""".replace("select *, total_pct - pos_pct", "select day, articles, total_pct, pos_pct, total_pct - pos_pct"),
+)(lambda t, now: R.timeline_bars(R.entity_timeline(t, ENTITY)).drop("sentiment"))
 query(
     "entity_articles",
     f"""select r.article_id, b.name as board, a.url_id, {_TITLE} as title, a.posted_at, a.net_count, i.tldr, i.sentiment, i.controversy

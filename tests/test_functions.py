@@ -63,7 +63,7 @@ def test_json_of_any_shape(spark):
 
 def test_entity_names(spark):
     assert one(spark, X.norm_entity(F.col("a")), a=" ＦＧＯ　 x ") == "fgox"
-    assert X.like_literal("%_C_Chat\\") == "cchat"
+    assert X.like_literal("%_A_Board\\") == "aboard"
     assert one(spark, X.excerpt(F.col("a")), a="  a　\n b c ") == "a b c"
 
 
@@ -102,3 +102,13 @@ def test_prompt(spark):
     many = F.transform(F.sequence(F.lit(1), F.lit(501)), lambda i: F.struct(i.alias("seq"), F.lit("→").alias("tag"), F.lit("u").alias("user_id"), F.lit(None).cast("string").alias("content")))
     got = one(spark, A.prompt(F.col("t"), F.col("a"), F.col("c"), many), t="", a=None, c=None)
     assert got.startswith("標題：(無標題)\n\n---") and "共 501 則，僅顯示前 500 則" in got and got.count("→ u: ") == 500
+
+
+def test_settings():
+    from forumlens import settings as S
+
+    env = {"a": "5m", "b": "90s", "c": "250ms", "d": "1.5h", "e": "7", "f": "x", "g": "", "h": "inf", "i": "3.5"}
+    assert [S.seconds(env, k, 1) for k in "abcdefgz"] == [300, 90, 0.25, 5400, 7, 1, 1, 1]
+    assert [S.number(env, k, 2.0) for k in "efhiz"] == [7, 2, 2, 3.5, 2]
+    assert [S.whole(env, k, 2) for k in "efiz"] == [7, 2, 2, 2] and S.whole(env, "e", 2, 8) == 2
+    assert S.text(env, "g", "d") == "d" and S.text(env, "f", "d") == "x"
