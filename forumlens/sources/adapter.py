@@ -7,6 +7,8 @@ only difference is how an epoch is taken from a timestamp.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: the pinned "now" of the registered queries: 2001-08-02 00:00 UTC
@@ -90,23 +92,36 @@ def _text(name: str, engine: str, now: int) -> str:
     return sql.replace("varchar(99)", "string").replace("varchar(20)", "string").replace("varchar(9)", "string") if engine == "spark" else sql
 
 
-def tables(spark: SparkSession, sf_dir: str, now: int = NOW) -> dict[str, DataFrame]:
-    """The forum tables and the supplied ones they come from, by name."""
-    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _INPUTS}
-    for name in _VIEWS:
-        sql = _text(name, "spark", now)
-        # named arguments bind DataFrames without registering views
-        used = {t: df for t, df in out.items() if f" {t}" in sql or f"\n{t}" in sql}
-        for t in sorted(used, key=len, reverse=True):
-            sql = _bind(sql, t)
-        out[name] = spark.sql(sql, **used)
-    out["pushes"] = out["push_rows"].drop("part_id")
-    return out
+class Tables(dict):
+    """The forum tables and the supplied ones they come from, each made when it is first asked for."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, now: int = NOW):
+        super().__init__()
+        self.spark, self.sf_dir, self.now = spark, sf_dir, now
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name == "pushes":
+            df = self["push_rows"].drop("part_id")
+        elif name in _VIEWS:
+            sql = _text(name, "spark", self.now)
+            used = [t for t in (*_INPUTS, *_VIEWS) if t != name and re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
+            for t in used:
+                sql = _bind(sql, t)
+            # named arguments bind DataFrames without registering views
+            df = self.spark.sql(sql, **{t: self[t] for t in used})
+        elif name in _INPUTS:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            raise KeyError(name)
+        self[name] = df
+        return df
 
-def _bind(sql: str, table: str) -> str:
-    import re
 
+def tables(spark: SparkSession, sf_dir: str, now: int = NOW) -> Tables:
+    return Tables(spark, sf_dir, now)
+
+
+def _bind(sql: str, table: str) -> str:
     return re.sub(rf"\b(from|join)(\s+){table}\b", rf"\1\2{{{table}}}", sql)
 
 
