@@ -387,6 +387,7 @@ class LineClasses:
             every.join(class_first, "class_id", "left").select("line", "class_id", "links", F.coalesce("class_first", "first").alias("first")),
             "lines",
         )
+        work.drop("firsts", "members", "members-sizes", "found")
 
     def occurrences(self) -> DataFrame:
         """(_row, pos, line, class_id, links, repeated): repeated unless it's the first of its class."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """Workspaces opened inside are deleted at the end; what reads them must have been written by then."""
+    opened: list[Workspace] = []
+    token = _scratch.set(opened)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for work in opened:
+            work.drop()
+
+
 class Workspace:
     """Intermediate tables of one query, each written once as Parquet and read back.
 
@@ -27,12 +45,17 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/forumlens-{uuid.uuid4().hex}"
+        opened = _scratch.get()
+        if opened is not None:
+            opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes the named tables, or the whole workspace."""
+        for place in [f"{self.root}/{n}" for n in names] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
