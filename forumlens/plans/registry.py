@@ -46,9 +46,8 @@ query(
 query(
     "board_by_name",
     f"""select b.id as board_id, b.name, b.title, b.user_count,
-        (select count(*) from articles a where a.board_id = b.id and {_LIVE}) as articles from boards b where b.name = 'NATION_7'
-        or b.name = 'JAPAN'""",
-)(lambda t, now: R.board_by_name(t, "JAPAN").unionByName(R.board_by_name(t, "NATION_7")))
+        (select count(*) from articles a where a.board_id = b.id and {_LIVE}) as articles from boards b where b.name = 'NATION_7'""",
+)(lambda t, now: R.board_by_name(t, "NATION_7"))
 
 query("hot_boards", "select id, name from boards where is_hot")(lambda t, now: R.hot_boards(t))
 
@@ -144,10 +143,11 @@ query(
 )(lambda t, now: R.entity_timeline(t, ENTITY, distinct=True).withColumn("sentiment", F.round("sentiment", 9)))
 query(
     "timeline_bars",
-    f"""select *, total_pct - pos_pct as neg_pct from (select *, cast(round(total_pct * (1 + s) / 2) as bigint) as pos_pct from (
-        select day, articles, sentiment as s, cast(round(100.0::double * articles / greatest(max(articles) over (), 1)) as bigint) as total_pct from
-        (select {_DAY.format('a.posted_at')} as day, count(*) as articles, sum({_SIGN}) / count(*) as sentiment
-         {_ENTITY} where {_NAMES} group by 1 order by 1 desc limit 60)))""".replace("select *, total_pct - pos_pct", "select day, articles, total_pct, pos_pct, total_pct - pos_pct"),
+    f"""select day, articles, total_pct, pos_pct, total_pct - pos_pct as neg_pct from (
+        select *, cast(round(total_pct * (1 + sentiment) / 2) as bigint) as pos_pct from (
+        select *, cast(round(100.0::double * articles / greatest(max(articles) over (), 1)) as bigint) as total_pct from (
+        select {_DAY.format('a.posted_at')} as day, count(*) as articles, sum({_SIGN}) / count(*) as sentiment
+        {_ENTITY} where {_NAMES} group by 1 order by 1 desc limit 60)))""",
 )(lambda t, now: R.timeline_bars(R.entity_timeline(t, ENTITY)).drop("sentiment"))
 query(
     "entity_articles",
@@ -161,13 +161,11 @@ query(
 
 query(
     "trending",
-    f"""with top as (select r.name_norm, max(r.name) as name, max(r.kind) as kind, count(distinct a.id) as d7,
+    f"""select *, round(100.0 * d7 / max(d7) over ()) as bar_pct, h48 * 2 + d7 as score from (
+            select r.name_norm, max(r.name) as name, max(r.kind) as kind, count(distinct a.id) as d7,
             count(distinct case when a.posted_at > {{now}} - 172800 then a.id end) as h48
             {_ENTITY} where a.posted_at > {{now}} - 604800 group by 1 having count(distinct a.id) >= 3
-            order by h48 * 2 + d7 desc, d7 desc, r.name_norm limit 30)
-        select *, round(100.0 * d7 / max(d7) over ()) as bar_pct, h48 * 2 + d7 as score from top""".replace("with top as", "select * from (with top as").replace(
-        "as score from top", "as score from top)"
-    ),
+            order by h48 * 2 + d7 desc, d7 desc, r.name_norm limit 30)""",
 )(lambda t, now: R.trending(t, now))
 _RISING = f"""select a.id, b.name as board, a.url_id, a.title, a.posted_at, a.push_count, a.boo_count, a.net_count,
     case when {{now}} - a.posted_at > 0 then a.push_count * 3600.0::double / ({{now}} - a.posted_at) else a.push_count::double end as vph
@@ -270,7 +268,7 @@ query(
 _STATS = f"""select (select count(*) from article_insights where error is null) as analyzed,
     (select count(*) from articles a where a.{_LIVE} and {_WORTH} and (posted_at is null or posted_at < {{now}})) as total"""
 query("insight_stats", _STATS)(lambda t, now: R.insight_stats(t, now))
-query("health", f"""select '{{{{"status":"ok","analyzed":' || analyzed || ',"total":' || total || '}}}}' as body from ({_STATS})""".replace("{{", "{").replace("}}", "}").replace("{now}", str(NOW)))(
+query("health", "select '{\"status\":\"ok\",\"analyzed\":' || analyzed || ',\"total\":' || total || '}' as body from (" + _STATS + ")")(
     lambda t, now: R.health(t, now)
 )
 _CREDITS = "coalesce(round(sum(prompt_tokens * 6.9::double + completion_tokens * 24.0::double) / 10000.0::double * 0.5::double), 0)"
