@@ -240,6 +240,8 @@ def _narrow(signatures: DataFrame, threshold: int, shard_rows: int) -> DataFrame
         held = None
         hot = None  # a key whose run is passed on as it comes
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             now[3] = now[3].view(np.uint64)
             now = [np.concatenate([a, b]) for a, b in zip(held, now)] if held else now
