@@ -54,7 +54,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality_rules(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    docs = read(spark, sf_dir, "documents")
+    bands = fertility.fit_bands(docs, read(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0)
+    return fertility.quality_rules(docs, bands=bands).withColumnRenamed("id", "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
