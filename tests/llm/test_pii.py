@@ -67,3 +67,21 @@ def test_checks_and_context(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(df).collect()}
     assert got == {1: [("iban", 5, 32)], 2: [], 3: [("ssn", 4, 15)], 4: []}
+
+
+def test_ibans_in_running_text(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "NO9386011117947"]
+    after = ["", " Bitte", " bitte", " BITTE ZAHLEN", " 42 EUR", " 1234567890", ".", ", Dank", "\nDE89 3704 0044 0532 0130 00 Und", " A"]
+    rows, want = [], []
+    for iban in ibans:
+        for tail in after:
+            text = f"Konto {iban}{tail}"
+            rows.append((len(rows), text))
+            want.append([(6, 6 + len(iban))] + ([(7 + len(iban), 34 + len(iban))] if "\n" in tail else []))
+    for text in ("DE89370400440532013000Bitte", "DE88370400440532013000 Bitte", "xDE89370400440532013000"):
+        rows.append((len(rows), text))
+        want.append([])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    for i, spans in enumerate(want):
+        assert got[i] == spans, rows[i]
