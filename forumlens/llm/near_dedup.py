@@ -6,14 +6,14 @@ many to find them by blocks of bits alone, so the steps are:
 
 1. texts with equal word sequences count as one text;
 2. texts that share one of their ``samples`` smallest shingle hashes meet in bounded shards, where
-   fingerprints within ``radius`` bits are linked (by BK-tree for a small radius; a wide one leaves
-   a tree nothing to prune, and the shard is scanned), if the similarity as their smallest MARKS
-   hashes estimate it is no more than SLACK below what is asked for;
+   fingerprints (over distinct shingles) within ``radius`` bits are linked (by BK-tree for a small
+   radius; a wide one leaves a tree nothing to prune, and the shard is scanned), and so is every
+   pair beyond the radius that ``may_be_similar``; with a small radius there's no such second path;
 3. each loose component is verified by exact similarity, again in bounded shards.
 
-Two texts of similarity 0.8 share none of 8 samples with a chance of about 0.000003, and are
-estimated below 0.5 from 16 hashes with a chance of about 0.0015. Edges that leave a task form
-spanning forests; components stay distributed.
+Two texts of similarity 0.8 share none of 8 samples with a chance of about 0.000003. Of pairs that
+share one none is lost: ``may_be_similar`` is a bound by sizes and smallest hashes, no estimate.
+Edges that leave a task form spanning forests; components stay distributed.
 
 Edge cases: texts without words equal only rows with the same id and text; null ids come last in the
 order that decides who stays; rows with the same id and text count as copies; an empty table gives an
@@ -41,13 +41,12 @@ RADIUS = 22
 SAMPLES = 8
 TREE_RADIUS = 8
 MARKS = 16
-SLACK = 0.3
 _U64 = (1 << 64) - 1
 
 
-def scan_links(values: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def scan_links(values: np.ndarray, radius: int, alike: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """As spanning_links, by scanning: index pairs of a spanning forest of values within the radius
-    (and ``alike``, if given)."""
+    (or as ``alike`` has it, given an index, others, and which of them are within the radius)."""
     left, links = np.arange(len(values)), []
     while len(left):
         frontier, left = [int(left[0])], left[1:]
@@ -55,17 +54,24 @@ def scan_links(values: np.ndarray, radius: int, alike: Callable[[int, int], bool
             at = frontier.pop()
             near = np.bitwise_count(values[left] ^ values[at]) <= radius
             if alike:
-                near[near] = [alike(at, i) for i in left[near].tolist()]
+                near = alike(at, left, near)
             links += [(at, int(i)) for i in left[near]]
             frontier += left[near].tolist()
             left = left[~near]
     return links
 
 
-def estimated_similarity(a: set, b: set) -> float:
-    """From the smallest hashes of two sets: the share of the smallest of their union that both have."""
-    least = sorted(a | b)[:MARKS]
-    return sum(x in a and x in b for x in least) / len(least) if least else 1.0
+def may_be_similar(a: set, b: set, size_a: int, size_b: int, similarity: float) -> bool:
+    """False only if sets of these sizes, with these MARKS smallest (upper halves of) hashes, are less similar.
+
+    Sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes; below the
+    smaller one of their largest marks all hashes of both are known.
+    """
+    if min(size_a, size_b) < similarity * max(size_a, size_b) - 1e-9:
+        return False
+    known = min(max(x) if n > MARKS else 1 << 32 for x, n in ((a, size_a), (b, size_b)))
+    apart = sum(x < known for x in a ^ b)
+    return apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-9
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -117,29 +123,30 @@ def near_dedup(
 
     def sketch(batches):
         for batch in batches:
-            content, fps, keys, marks = [], [], [], []
+            content, fps, keys, marks, sizes = [], [], [], [], []
             for row, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 h = shingle_hashes(text, shingle)
-                fps.append(signed(majority_bits(h)))
                 content.append(signed(xxhash.xxh64_intdigest(b" ".join(words), 1)) if words else row)
                 distinct = np.unique(h)
+                fps.append(signed(majority_bits(distinct)))
+                sizes.append(len(distinct))
                 keys.append(distinct[:samples].view(np.int64).tolist())
                 marks.append((distinct[:MARKS] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(marks, pa.list_(pa.int32()))],
-                ["id", "_row", "content", "fp", "keys", "marks"],
+                 pa.array(marks, pa.list_(pa.int32())), pa.array(sizes, pa.int32())],
+                ["id", "_row", "content", "fp", "keys", "marks", "size"],
             )
 
-    rows = work.table(texts.mapInArrow(sketch, "id long, _row long, content long, fp long, keys array<long>, marks array<int>"), "sketches")
+    rows = work.table(texts.mapInArrow(sketch, "id long, _row long, content long, fp long, keys array<long>, marks array<int>, size int"), "sketches")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
     firsts = work.table(rows.groupBy("content").agg(F.min(place).alias("first")), "firsts")
-    keyed_rows = work.table(rows.select("content", "fp", "marks", F.explode("keys").alias("key")).dropDuplicates(["content", "key"]), "keyed")
+    keyed_rows = work.table(rows.select("content", "fp", "marks", "size", F.explode("keys").alias("key")).dropDuplicates(["content", "key"]), "keyed")
     groups = (
         shard_groups(keyed_rows, ["key"], F.col("content"), shard_rows, work, "loose")
         .groupBy("key", "_i", "_j")
-        .agg(F.collect_list(F.struct("content", "fp", "marks")).alias("rows"))
+        .agg(F.collect_list(F.struct("content", "fp", "marks", "size")).alias("rows"))
         .select("rows")
     )
 
@@ -153,7 +160,15 @@ def near_dedup(
                     continue
                 # as unsigned numbers, in the order of the whole hashes
                 sets = [{x & 0xFFFFFFFF for x in m["marks"]} for m in members]
-                alike = lambda i, j: estimated_similarity(sets[i], sets[j]) >= similarity - SLACK  # noqa: B023, E731
+                size = np.array([m["size"] for m in members])
+
+                def alike(at, left, near):
+                    fits = np.minimum(size[left], size[at]) >= similarity * np.maximum(size[left], size[at]) - 1e-9  # noqa: B023
+                    rest = np.flatnonzero(fits & ~near)
+                    near = near & fits
+                    near[rest] = [may_be_similar(sets[at], sets[i], size[at], size[i], similarity) for i in left[rest].tolist()]  # noqa: B023
+                    return near
+
                 _edges(scan_links(np.array(values, np.uint64), radius, alike), names, a, b)
             yield _batch(a, b)
 

@@ -57,3 +57,31 @@ def test_links_connect_what_is_close():
         for j in range(200):
             if (int(values[i]) ^ int(values[j])).bit_count() <= 1:
                 assert root[i] == root[j]
+
+
+def test_repeated_phrases_do_not_hide_copies(spark):
+    """The fingerprint may be far off where a phrase is repeated; the similarity of the sets decides."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = [f"v{rng.randrange(4000)}" for _ in range(200)]
+        phrase = [f"u{rng.randrange(4000)}" for _ in range(8)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + phrase * 20))]
+    for i in range(200):
+        nine = [f"t{rng.randrange(4000)}" for _ in range(9)]
+        rows += [(1000 + 2 * i, " ".join(nine)), (1001 + 2 * i, " ".join(nine[:8]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id for r in nd.near_dedup(df).collect()), key=str)
+    assert got == brute(rows) and len(got) == 260
+
+
+def test_bound_keeps_every_similar_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(1 << 32, n, replace=False)
+        b = np.unique(np.concatenate([a[rng.random(n) > 0.1], rng.integers(0, 1 << 32, int(rng.integers(0, 6)))]))
+        x, y = set(a.tolist()), set(b.tolist())
+        marks = [set(sorted(s)[: nd.MARKS]) for s in (x, y)]
+        if y and len(x & y) >= 0.8 * len(x | y):
+            assert nd.may_be_similar(*marks, len(x), len(y), 0.8)
