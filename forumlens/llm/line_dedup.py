@@ -7,7 +7,8 @@ narrow down. So each line gives index keys (its length, segment number, segment)
 (substrings at the places where segments of equal or shorter lines may stand). Lines that share a
 key, one of them by an index key, are candidates; they are narrowed by a sketch of their character
 counts and verified with a banded bit-parallel edit distance. A class is a connected component of
-linked lines, so equal lines are of one class, too.
+linked lines, so equal lines are of one class, too. With ``short_lines`` shorter lines take part as
+well, each in the class of the lines that equal it.
 
 Only hashes are shuffled in the candidate search; the text of a candidate line is fetched once, from
 the document where it first stands. Keys with more than ``shard_rows`` candidates are split into pairs
@@ -16,7 +17,7 @@ exact; only the edges of a spanning forest leave a task.
 
 Lines are known by 64-bit hashes of their text; a row by a hash of its id and text.
 
-Edge cases: null texts have no lines; blank and short lines are never linked or removed; rows with
+Edge cases: null texts have no lines; blank lines are never linked or removed, nor short ones without ``short_lines``; rows with
 the same id and text count as one document and get the same answers; null ids come last in the order
 that decides which line is the first of its class; an empty table gives an empty result; other
 columns are passed on by ``remove_repeated_lines`` and ignored elsewhere.
@@ -164,45 +165,55 @@ def document_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     return [(i, s) for i, s in enumerate(stripped) if len(s) >= min_chars]
 
 
-def _scan(rows: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """One row for each document: the places and hashes of its lines, and the keys of lines not seen
-    before in the same batch."""
-    schema = "id long, _row long, pos array<int>, line array<long>, key array<long>, owner array<long>, is_index array<boolean>, sketch array<long>"
+def _scan(rows: DataFrame, least: int) -> DataFrame:
+    """One row for each document: the places and hashes of its lines of at least ``least`` characters."""
 
     def run(batches):
         for batch in batches:
-            ids, rws = batch.column(0), batch.column(1)
-            pos, line, key, owner, flag, sketch, seen = [], [], [], [], [], [], set()
+            pos, line = [], []
             for text in batch.column(2).to_pylist():
-                own = document_lines(text, min_chars)
-                hashes = [_hash(s) for _, s in own]
+                own = document_lines(text, least)
                 pos.append([i for i, _ in own])
-                line.append(hashes)
-                fresh = {h: s for h, (_, s) in zip(hashes, own) if h not in seen}
-                seen.update(fresh)
-                marks = sketches(list(fresh.values())).view(np.int64).tolist()
-                ks, os, fs, ss = [], [], [], []
-                for (h, s), mark in zip(fresh.items(), marks):
-                    index, probe = keys(s, threshold)
-                    n = len(index) + len(probe)
-                    ks += index
-                    ks += probe
-                    os += [h] * n
-                    ss += [mark] * n
-                    fs += [True] * len(index)
-                    fs += [False] * len(probe)
-                key.append(ks)
-                owner.append(os)
-                flag.append(fs)
-                sketch.append(ss)
-            long = pa.list_(pa.int64())
+                line.append([_hash(s) for _, s in own])
             yield pa.RecordBatch.from_arrays(
-                [ids, rws, pa.array(pos, pa.list_(pa.int32())), pa.array(line, long), pa.array(key, long), pa.array(owner, long),
-                 pa.array(flag, pa.list_(pa.bool_())), pa.array(sketch, long)],
-                ["id", "_row", "pos", "line", "key", "owner", "is_index", "sketch"],
-            )
+                [batch.column(0), batch.column(1), pa.array(pos, pa.list_(pa.int32())), pa.array(line, pa.list_(pa.int64()))],
+                ["id", "_row", "pos", "line"],
+            )
+
+    return rows.select("id", "_row", "text").mapInArrow(run, "id long, _row long, pos array<int>, line array<long>")
 
-    return rows.select("id", "_row", "text").mapInArrow(run, schema)
+
+def _signatures(rows: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """(key, line, is_index, sketch) of lines not seen before in the same batch. Not written as a table:
+    the keys are many times the lines."""
+
+    def run(batches):
+        for batch in batches:
+            seen = set()
+            for start in range(0, batch.num_rows, 500):
+                fresh = {}
+                for text in batch.column(0).slice(start, 500).to_pylist():
+                    for _, s in document_lines(text, min_chars):
+                        h = _hash(s)
+                        if h not in seen:
+                            seen.add(h)
+                            fresh[h] = s
+                marks = sketches(list(fresh.values())).view(np.int64)
+                every, flags, count = [], [], []
+                for s in fresh.values():
+                    index, probe = keys(s, threshold)
+                    every += index
+                    every += probe
+                    flags += [True] * len(index)
+                    flags += [False] * len(probe)
+                    count.append(len(index) + len(probe))
+                line = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every, pa.int64()), pa.array(line), pa.array(flags, pa.bool_()), pa.array(np.repeat(marks.astype(np.int64), count))],
+                    ["key", "line", "is_index", "sketch"],
+                )
+
+    return rows.select("text").mapInArrow(run, "key long, line long, is_index boolean, sketch long")
 
 
 def _narrow(signatures: DataFrame, threshold: int, shard_rows: int) -> DataFrame:
@@ -341,20 +352,18 @@ class LineClasses:
     ``rows``: (id, row) of every row of the table.
     """
 
-    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, min_chars=MIN_CHARS, shard_rows=SHARD_ROWS):
+    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, min_chars=MIN_CHARS, shard_rows=SHARD_ROWS, short_lines=False):
         if threshold < 0 or min_chars <= 2 * threshold:
             raise ValueError("0 <= threshold and 2 * threshold < min_chars are needed")
         work = Workspace(docs.sparkSession)
         texts = keyed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "_row", F.col(text_col).cast("string").alias("text"))
-        scanned = work.table(_scan(texts, threshold, min_chars), "scan")
+        scanned = work.table(_scan(texts, 1 if short_lines else min_chars), "scan")
         self.rows = scanned.select("id", "_row")
         places = scanned.select("id", "_row", F.explode(F.arrays_zip("pos", "line")).alias("p")).select("id", "_row", "p.pos", "p.line")
         self.places = places.dropDuplicates(["_row", "pos"])
         where = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row", "pos")
         firsts = work.table(places.groupBy("line").agg(F.min(where).alias("first")), "firsts")
-        signatures = scanned.select(F.explode(F.arrays_zip("key", "owner", "is_index", "sketch")).alias("s")).select(
-            "s.key", F.col("s.owner").alias("line"), "s.is_index", "s.sketch"
-        )
+        signatures = _signatures(texts, threshold, min_chars)
         members = work.table(_narrow(signatures, threshold, shard_rows).dropDuplicates(), "members")
         wanted = (
             members.select("line").distinct().join(firsts, "line").groupBy("first._row")

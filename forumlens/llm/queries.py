@@ -84,7 +84,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its lines that take part, how many repeat or are linked, and each line's class and links."""
-    return line_dedup.LineClasses(read(spark, sf_dir, "documents")).by_document().withColumnRenamed("id", "doc_id")
+    return line_dedup.LineClasses(read(spark, sf_dir, "documents"), short_lines=True).by_document().withColumnRenamed("id", "doc_id")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

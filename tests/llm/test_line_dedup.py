@@ -98,3 +98,15 @@ def test_removal(spark):
     assert got == {1: f"{a}\n{b}\nhi", 2: f"{c}\n\nhi", 4: None, 5: "hi", 6: "new text stands here too"}
     assert ld.remove_repeated_lines(df).columns == df.columns
     assert ld.remove_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_have_classes_by_equality(spark):
+    long = "a line that is long enough to be joined"
+    rows = [(1, f"Les.\n{long}\nLez."), (2, " Les. \nHaanth."), (3, f"Les.\n{long}"), (4, "\n \nHaanth.\nHaanth.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in ld.LineClasses(df, short_lines=True).by_document().collect()}
+    assert {i: (r.n_lines, r.n_repeated, r.n_linked) for i, r in got.items()} == {1: (3, 0, 0), 2: (2, 1, 0), 3: (2, 2, 0), 4: (2, 2, 0)}
+    assert got[1].classes[0] == got[2].classes[0] == got[3].classes[0] != got[1].classes[2]
+    assert got[2].classes[1] == got[4].classes[0] == got[4].classes[1]
+    left = {r.doc_id: r.text for r in ld.remove_repeated_lines(df, short_lines=True).collect()}
+    assert left == {1: rows[0][1], 2: "Haanth."}
