@@ -35,7 +35,7 @@ from .components import connected_components
 from .shards import shard_groups
 from .workspace import Workspace
 
-THRESHOLD = 1
+THRESHOLD = 3
 MIN_CHARS = 16
 SHARD_ROWS = 512
 

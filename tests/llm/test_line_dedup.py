@@ -110,3 +110,11 @@ def test_short_lines_have_classes_by_equality(spark):
     assert got[2].classes[1] == got[4].classes[0] == got[4].classes[1]
     left = {r.doc_id: r.text for r in ld.remove_repeated_lines(df, short_lines=True).collect()}
     assert left == {1: rows[0][1], 2: "Haanth."}
+
+
+def test_default_threshold_covers_a_changed_word(spark):
+    a, b = "there stood the old stes eare of the house and all", "there stood the old stes aree of the house, and all"
+    assert distance(a, b) == 3
+    df = spark.createDataFrame([(1, a), (2, b), (3, a.replace("stood", "lay by"))], "doc_id long, text string")
+    got = {r.id: r for r in ld.LineClasses(df).by_document().collect()}
+    assert got[1].classes == got[2].classes != got[3].classes and got[2].n_repeated == 1
