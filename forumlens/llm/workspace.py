@@ -7,18 +7,28 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a local folder of our own."""
+    """The folder of spark.checkpoint.dir; a local folder of our own only where all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="forumlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def row_key(*columns: Column) -> Column:
+    """128 bits that tell rows with different values or nulls apart, whatever the values."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
 _scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
