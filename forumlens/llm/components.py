@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Edges stay distributed: each step groups by node with map-side combining, and the join that sends a
-node's smallest neighbour back to its edges is salted, so that a hub is spread over several tasks.
+node's smallest neighbour back to its edges spreads the edges of hubs over all tasks.
 The number of steps grows with the logarithm of the longest chain.
 """
 
@@ -10,17 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shards import spread_join
 from .workspace import Workspace
 
-SALTS = 8
 
-
-def _point_to_smallest(pairs: DataFrame, moves: str, include_self: bool) -> DataFrame:
+def _point_to_smallest(pairs: DataFrame, moves: str, include_self: bool, total: int) -> DataFrame:
     """For pairs (u, v): an edge from each v that ``moves`` to the smallest node among u and its v."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    lows = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = salted.join(lows, ["u", "salt"])
+    low = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    low = low.select("u", F.least("u", "low").alias("low"), "n")
+    joined = spread_join(pairs, low, "u", "n", total)
     edges = joined.where(moves).where("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b"))
     if include_self:
         edges = edges.unionByName(low.where("u <> low").select(F.col("u").alias("a"), F.col("low").alias("b")))
@@ -47,10 +45,10 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         # large star: larger neighbours move to the smallest neighbour
-        large = _point_to_smallest(both, "v > u", include_self=False).distinct()
+        large = _point_to_smallest(both, "v > u", False, 2 * mark[0]).distinct()
         # small star: smaller neighbours and the node itself move to the smallest
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _point_to_smallest(down, "true", include_self=True)
+        small = _point_to_smallest(down, "true", True, 2 * mark[0])
         step += 1
         current = work.table(small.where("a > b").distinct(), f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shards import shard_groups
+from .shards import shard_groups, spread_join
 from .workspace import Workspace
 
 SEED = 42
@@ -161,6 +161,7 @@ def link_fingerprints(
         shard_groups(keyed, ["t", "k"], F.col("fp"), shard_rows, work, name)
         .groupBy("t", "k", "_i", "_j")
         .agg(F.collect_list("fp").alias("members"))
+        .where(F.size("members") > 1)
         .select("members")
     )
 
@@ -189,16 +190,18 @@ def simhash_classes(
     """(id, fp, class_id): class_id is the smallest id of the fingerprint's connected component."""
     work = Workspace(docs.sparkSession)
     rows = work.table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = work.table(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    nodes = connected_components(link_fingerprints(distinct, work, radius, blocks, shard_rows), work)
+    distinct = work.table(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
+    nodes = work.table(connected_components(link_fingerprints(distinct, work, radius, blocks, shard_rows), work), "nodes")
     linked = work.table(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "low"), "linked")
-    lows = linked.groupBy("root").agg(F.min("low").alias("class_low"))
-    labels = linked.join(lows, "root").select(F.col("fp").alias("linked_fp"), "class_low")
+    lows = linked.groupBy("root").agg(F.min("low").alias("class_low"), F.count("*").alias("size"))
+    labels = spread_join(linked, lows, "root", "size", linked.count()).select(F.col("fp").alias("linked_fp"), "class_low")
     # only linked fingerprints need the join; the class of any other is its own smallest id
     classes = distinct.join(labels, F.col("fp") == F.col("linked_fp"), "left").select(
-        "fp", F.coalesce("class_low", "low").alias("class_id")
+        "fp", "n", F.coalesce("class_low", "low").alias("class_id")
     )
-    return rows.join(classes, "fp").select("id", "fp", "class_id")
+    classes = work.table(classes, "classes")
+    work.drop("distinct", "nodes", "linked", "links-sizes")
+    return spread_join(rows, classes, "fp", "n", rows.count()).select("id", "fp", "class_id")
 
 
 def fingerprint_hex(fp) -> F.Column:
