@@ -50,10 +50,11 @@ class FTRL:
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, eligible: Column, bound: int
 ) -> DataFrame:
-    """At most ``bound`` labelled rows (text, label, rank), the first by a hash of the id.
+    """At most ``bound`` labelled rows (id, text, label, rank), the first by a hash of the id.
 
     ``eligible`` is a condition on the id, named ``id``. Repeated label rows of an id count once
-    (the larger label); ids with null labels or without a text row give none.
+    (the larger label), and so do repeated text rows (null or the smallest text), put together before
+    they are shuffled; ids with null labels or without a text row give none.
     """
     marked = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -65,7 +66,8 @@ def training_rows(
     chosen = marked.withColumn("rank", F.xxhash64("id", F.lit(2))).orderBy("rank", "id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most ``bound`` small rows are broadcast
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "rank")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "rank").agg(F.min(F.struct("text")).alias("t"))
+    return found.select("id", "t.text", "label", "rank")
 
 
 def learn_weights(
@@ -101,17 +103,15 @@ def train(rows: DataFrame, featurize: Featurizer, bits: int, **settings) -> np.n
     """Weights for (id, text, label, rank) rows, learned in the order of rank by one task."""
 
     def run(batches):
-        examples, seen = [], set()
+        examples = []
         for batch in batches:
-            for row, text, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if row not in seen:  # repeated ids: the first text in the order of the sort
-                    seen.add(row)
-                    index, value, _ = featurize([text])
-                    examples.append((index.astype(np.int32), value.astype(np.float32), label))
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                index, value, _ = featurize([text])
+                examples.append((index.astype(np.int32), value.astype(np.float32), label))
         weights = learn_weights(examples, bits, **settings)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    one = rows.repartition(1).sortWithinPartitions("rank", "id", "text").select("id", "text", "label")
+    one = rows.repartition(1).sortWithinPartitions("rank", "id").select("text", "label")
     row = one.mapInArrow(run, "weights binary").first()
     # an empty table may be planned away, and then no task has run
     return np.frombuffer(row[0], np.float32) if row else np.zeros(1 << bits, np.float32)

@@ -5,9 +5,9 @@ Words of the whole text are seen in two ways, both hashed into n-grams: their le
 signs around the letters, so that layout shows even in words that were never seen. A feature's value
 is its share of the text's n-grams, so long and short texts compare.
 
-Edge cases: null, empty and word-less texts have no feature and get the score 0.5; without labelled
-rows of both classes all scores are 0.5; repeated ids are scored row by row; other columns pass
-unused.
+Edge cases: null, empty and word-less texts have nothing to keep and get the score 0, a rule beside the
+model; without labelled rows of both classes all other scores are 0.5; repeated ids are scored row by
+row; other columns pass unused.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ def score_texts(texts: list, weights: np.ndarray) -> np.ndarray:
     out = []
     for part in chunks(texts):
         index, row = occurrences(part)
-        total = np.maximum(np.bincount(row, minlength=len(part)), 1)
-        out.append(ftrl.sigmoid(SCALE * np.bincount(row, weights[index], len(part)) / total))
+        total = np.bincount(row, minlength=len(part))
+        chance = ftrl.sigmoid(SCALE * np.bincount(row, weights[index], len(part)) / np.maximum(total, 1))
+        out.append(np.where(total > 0, chance, 0.0))
     return np.concatenate(out) if out else np.empty(0)
 
 

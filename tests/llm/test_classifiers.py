@@ -58,7 +58,8 @@ def test_edges(spark):
     for module in (quality_classifier, toxicity):
         w = module.fit(docs, none, F.lit(True), label="quality")
         scores = [r.s for r in docs.select(module.score(spark, F.col("text"), w).alias("s")).collect()]
-        assert scores == [0.5] * 5
+        empty = 0.0 if module is quality_classifier else 0.5
+        assert scores == [empty, empty, 0.5, 0.5, 0.5]
         empty = docs.limit(0)
         assert empty.select(module.score(spark, F.col("text"), w).alias("s")).count() == 0
     both = spark.createDataFrame([(2, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
@@ -75,3 +76,11 @@ def test_scores_are_plain_dot_products():
     index, value, at = toxicity.features(texts)
     for i, s in enumerate(toxicity.Weights(dense).score(texts)):
         assert np.isclose(s, ftrl.sigmoid(float(dense[index[at == i]] @ value[at == i])), atol=1e-5)
+
+
+def test_copies_of_an_id_count_once(spark):
+    rows = [(1, "the first text")] * 300 + [(1, "another text"), (2, "more words"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = ftrl.training_rows(docs, labels, "quality", "doc_id", "text", F.lit(True), 10).collect()
+    assert sorted((r.id, r.text, r.label) for r in got) == [(1, "another text", 1), (2, None, 0)]
