@@ -4,10 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parqu
 the docs of the next one. All but the last return the columns of documents.
 
 1. quality classifier: documents scored below the threshold go;
-2. line dedup: lines that repeat an earlier line's class go, and documents of which nothing is left;
+2. line dedup: lines that repeat an earlier line's class go, and documents of which nothing is left; near
+   copies of a document keep the lines that they share with it, else the next stage would find fragments;
 3. SimHash near-dedup: one document of each group of near copies stays;
 4. benchmark decontamination: documents that contain a benchmark item go;
 5. SentencePiece encoding: doc_id, lang, source, ids, n_tokens and whether decoding gives the text.
+
+Null texts count as empty and empty texts as of no quality, so they go at the first stage; rows repeated
+as a whole are near copies, of which one stays; a null id is the last to stay. Empty tables of documents
+or of the benchmark give empty or unchanged tables. Stages pass on whatever columns documents have.
 """
 
 from __future__ import annotations
@@ -25,12 +30,15 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     weights = quality_classifier.fit(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0
     )
-    scored = docs.withColumn("_score", quality_classifier.score(spark, F.col("text"), weights))
-    return scored.where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
+    scored = docs.select(whole, quality_classifier.score(spark, F.col("text"), weights).alias("score"))
+    kept = scored.where(F.col("score") >= QUALITY_THRESHOLD)
+    return kept.select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_lines(docs, short_lines=True)
+    near = near_dedup.NearCopies(docs).classes()
+    out = line_dedup.remove_repeated_lines(docs, short_lines=True, near=near)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -41,8 +49,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.with_matches(docs, read(spark, sf_dir, "benchmark"), "_found")
-    return found.where(F.size("_found") == 0).drop("_found")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
+    rows = docs.select(whole, "text")
+    found = decontamination.with_matches(rows, read(spark, sf_dir, "benchmark"), "found")
+    return found.where(F.size("found") == 0).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -537,13 +537,29 @@ class LineClasses:
         each = F.explode(F.arrays_zip("pos", "line", "again")).alias("p")
         return self.scanned.select("doc", each).select("doc", "p.pos", "p.line", "p.again")
 
-    def occurrences(self, repeated_only: bool = False) -> DataFrame:
+    def occurrences(self) -> DataFrame:
         """(doc, pos, class_id, links, repeated): repeated unless it's the first of its class."""
-        lines = self.lines.where("n > 1 or links > 0") if repeated_only else self.lines
-        joined = spread_join(self.places().drop("again"), lines, "line", "n", self.total)
+        joined = spread_join(self.places().drop("again"), self.lines, "line", "n", self.total)
         is_first = (F.col("first_doc") == F.col("doc")) & (F.col("first_pos") == F.col("pos"))
-        out = joined.select("doc", "pos", "class_id", "links", (~is_first).alias("repeated"))
-        return out.where("repeated") if repeated_only else out
+        return joined.select("doc", "pos", "class_id", "links", (~is_first).alias("repeated"))
+
+    def repeated(self, near: DataFrame | None = None) -> DataFrame:
+        """(doc, pos) of the lines to remove: those that repeat an earlier line's class.
+
+        With ``near`` (_row, near), the near copies of a row, a line that first stands in a near copy of
+        its document is no repeat, unless it repeats a line of its own document.
+        """
+        lines = self.lines.where("n > 1 or links > 0")
+        places = self.places().drop("again")
+        if near is None:
+            joined = spread_join(places, lines, "line", "n", self.total)
+            return joined.where("first_doc <> doc or first_pos <> pos").select("doc", "pos")
+        own = self.scanned.select("doc", "_row").join(near, "_row").select("doc", "near")
+        lines = lines.join(own.toDF("first_doc", "first_near"), "first_doc", "left")
+        joined = spread_join(places, lines, "line", "n", self.total).join(own, "doc", "left").repartition("doc")
+        turn = F.row_number().over(Window.partitionBy("doc", "class_id").orderBy("pos"))
+        joined = joined.withColumn("again", turn > 1)
+        return joined.where("again or (first_doc <> doc and not coalesce(first_near = near, false))").select("doc", "pos")
 
     def by_document(self) -> DataFrame:
         """(id, n_lines, n_repeated, n_linked, classes, links), arrays in the order of the text."""
@@ -562,13 +578,14 @@ class LineClasses:
         )
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None, **settings) -> DataFrame:
     """The documents without the lines that repeat an earlier line's class.
 
     Documents without such lines stay as they are; documents of which only blank lines would be left go.
+    Near copies (``near``, see LineClasses.repeated) keep what they have in common.
     """
     classes = LineClasses(docs, id_col, text_col, **settings)
-    drops = classes.occurrences(repeated_only=True).groupBy("doc").agg(F.collect_set("pos").alias("_drops"))
+    drops = classes.repeated(near).groupBy("doc").agg(F.collect_set("pos").alias("_drops"))
     drops = drops.join(classes.scanned.select("doc", "_row"), "doc").select("_row", "_drops")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")

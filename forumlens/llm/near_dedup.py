@@ -1,29 +1,33 @@
 """SimHash near-dedup at a given similarity: one document of each group of near copies stays.
 
 Near copies are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at
-least ``similarity``. At 0.8, SimHash fingerprints of near copies differ in 5 to 20 of 64 bits, too
-many to find them by blocks of bits alone, so the steps are:
+least ``similarity``. 64-bit fingerprints of near copies at 0.8 differ in 5 to 20 bits, which neither
+blocks of bits nor a radius tell from chance; so the fingerprints here have 256 bits. At 0.8 a bit
+differs with a probability of 0.12 to 0.19, by the size of the sets, and of unrelated texts 0.5: the
+radius of 96 bits is 7 standard deviations above the worst of the former (a chance below 1e-12) and 4
+below the latter. The steps are:
 
 1. texts with equal word sequences count as one text;
-2. texts that share one of their ``samples`` smallest shingle hashes meet in bounded shards, where
-   fingerprints (over distinct shingles) within ``radius`` bits are linked (by BK-tree for a small
-   radius; a wide one leaves a tree nothing to prune, and the shard is scanned), and so is every
-   pair beyond the radius that ``may_be_similar``; with a small radius there's no such second path;
-3. each loose component is verified by exact similarity, again in bounded shards.
+2. texts that share one of their ``samples`` smallest shingle hashes meet in bounded groups; a BK-tree of
+   the group's fingerprints (over distinct shingles) gives the loose links, those within the radius;
+3. the loose components are verified by exact similarity, in bounded groups.
 
-Two texts of similarity 0.8 share none of 8 samples with a chance of about 0.000003. Of pairs that
-share one none is lost: ``may_be_similar`` is a bound by sizes and smallest hashes, no estimate.
-Edges that leave a task form spanning forests; components stay distributed.
+Two texts of similarity 0.8 share none of 8 samples with a chance of 0.2 ** 8, about 0.000003, the only
+one by which a link can be lost; texts of up to 8 shingles lose none.
+
+No step copies the rows of a large group against each other at once. A group of more than ``shard_rows``
+rows is split into shards that all hold the group's ``LEADERS`` as well, so a dense group, of copies of
+each other, is connected with a linear number of rows. A group that this leaves in several parts is taken
+up again under finer keys (two shared samples; in the verification, one), and only where such a finer
+group is larger than ``shard_rows``, too, do its shards meet in pairs. So nothing is capped.
 
 Edge cases: texts without words equal only rows with the same id and text; null ids come last in the
 order that decides who stays; rows with the same id and text count as copies; an empty table gives an
-empty result; all columns of the documents that stay are passed on unchanged.
+empty result; all columns of the documents that stay are passed on unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,47 +35,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shards import shard_groups
-from .simhash import majority_bits, shingle_hashes, signed, spanning_links
-from .workspace import Workspace
+from .shards import shard_groups, spread_join
+from .simhash import shingle_hashes, signed
+from .workspace import Workspace, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 22
+WORDS = 4  # of 64 bits in a fingerprint
+RADIUS = 96
 SAMPLES = 8
-TREE_RADIUS = 8
-MARKS = 16
-_U64 = (1 << 64) - 1
-
-
-def scan_links(values: np.ndarray, radius: int, alike: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """As spanning_links, by scanning: index pairs of a spanning forest of values within the radius
-    (or as ``alike`` has it, given an index, others, and which of them are within the radius)."""
-    left, links = np.arange(len(values)), []
-    while len(left):
-        frontier, left = [int(left[0])], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            near = np.bitwise_count(values[left] ^ values[at]) <= radius
-            if alike:
-                near = alike(at, left, near)
-            links += [(at, int(i)) for i in left[near]]
-            frontier += left[near].tolist()
-            left = left[~near]
-    return links
+MORE_SAMPLES = 16
+LEADERS = 32
+SHARD_ROWS = 1024
+LEAF = 64
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words of a fingerprint: a bit is 1 if set in over half of the hashes, spread WORDS ways."""
+    out = np.empty(WORDS, np.uint64)
+    for k in range(WORDS):
+        h = hashes * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) % (1 << 63)) + 1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<u8")[0] if len(h) else 0
+    return out
+
 
+def bits_apart(values: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values ^ one).sum(axis=1, dtype=np.int64)
 
-def may_be_similar(a: set, b: set, size_a: int, size_b: int, similarity: float) -> bool:
-    """False only if sets of these sizes, with these MARKS smallest (upper halves of) hashes, are less similar.
 
-    Sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes; below the
-    smaller one of their largest marks all hashes of both are known.
+class WideTree:
+    """A BK-tree of fingerprints (n, words): a node's children are keyed by their distance to it.
+
+    Children of up to LEAF values are kept as they are and looked through. Values can be taken out.
     """
-    if min(size_a, size_b) < similarity * max(size_a, size_b) - 1e-9:
-        return False
-    known = min(max(x) if n > MARKS else 1 << 32 for x, n in ((a, size_a), (b, size_b)))
-    apart = sum(x < known for x in a ^ b)
-    return apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + 1e-9
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.left = values, np.ones(len(values), bool)
+        self.root = self._node(np.arange(len(values)))
+
+    def _node(self, own: np.ndarray):
+        root, todo = None, [(None, 0, own)]
+        while todo:
+            parent, edge, own = todo.pop()
+            if len(own) <= LEAF:
+                node = own
+            else:
+                node = (int(own[0]), {})
+                apart = bits_apart(self.values[own[1:]], self.values[own[0]])
+                for d in np.unique(apart).tolist():
+                    members = own[1:][apart == d]
+                    if d == 0:  # equal values: further ones would only make a chain
+                        node[1][0] = members
+                    else:
+                        todo.append((node, d, members))
+            if parent is None:
+                root = node
+            else:
+                parent[1][edge] = node
+        return root
+
+    def take(self, value: np.ndarray, radius: int) -> list[int]:
+        """Takes out and returns the values within the radius of a value."""
+        found, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, np.ndarray):
+                own = node[self.left[node]]
+                if len(own):
+                    found += own[bits_apart(self.values[own], value) <= radius].tolist()
+                continue
+            at, kids = node
+            distance = int(np.bitwise_count(self.values[at] ^ value).sum())
+            if distance <= radius and self.left[at]:
+                found.append(at)
+            stack += [kid for edge, kid in kids.items() if distance - radius <= edge <= distance + radius]
+        self.left[found] = False
+        return found
+
+
+def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the fingerprints within the radius."""
+    tree, links = WideTree(values), []
+    for start in range(len(values)):
+        if not tree.left[start]:
+            continue
+        tree.left[start] = False
+        frontier = [start]
+        while frontier:
+            at = frontier.pop()
+            near = tree.take(values[at], radius)
+            links += [(at, i) for i in near]
+            frontier += near
+    return links
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -79,136 +137,184 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     size = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(sets)), size)
     mark = np.zeros(int(flat.max()) + 1, bool)
-    left, links = np.arange(len(sets)), []
-    while len(left):
-        frontier, left = [int(left[0])], left[1:]
-        while frontier and len(left):
+    left, links = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first] = False
+        frontier = [first]
+        while frontier:
             at = frontier.pop()
+            if not left.any():
+                return links
             own = flat[start[at] : start[at] + size[at]]
             mark[own] = True
-            common = np.array([int(mark[flat[start[i] : start[i] + size[i]]].sum()) for i in left])
+            common = np.bincount(row[mark[flat]], minlength=len(sets))
             mark[own] = False
-            near = common >= similarity * (size[at] + size[left] - common) - 1e-9
-            links += [(at, int(i)) for i in left[near]]
-            frontier += left[near].tolist()
-            left = left[~near]
+            near = np.flatnonzero(left & (common >= similarity * (size[at] + size - common) - 1e-9)).tolist()
+            left[near] = False
+            links += [(at, i) for i in near]
+            frontier += near
     return links
 
 
-def _edges(pairs: list, names: list[int], a: list, b: list) -> None:
-    for i, j in pairs:
-        a.append(names[i])
-        b.append(names[j])
+def _links(groups: DataFrame, find) -> DataFrame:
+    """(rows of (content, value)) -> (a, b) of the index pairs that ``find`` gives for a group's values."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column(0):
+                if len(members) < 2:
+                    continue
+                own = members.values
+                names = own.field("content").to_pylist()
+                value = own.field("value")
+                values = value.values.to_numpy()[value.offsets[0].as_py() : value.offsets[-1].as_py()].view(np.uint64)
+                cuts = np.asarray(value.offsets) - value.offsets[0].as_py()
+                for i, j in find(values, cuts):
+                    a.append(names[i])
+                    b.append(names[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    return groups.select("rows").mapInArrow(run, "a long, b long")
 
-def _batch(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+def _gathered(rows: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """One row for each group, with the (content, value) of its members."""
+    groups = rows.join(values, "content").groupBy(*keys)
+    return groups.agg(F.collect_list(F.struct("content", "value")).alias("rows")).where(F.size("rows") > 1)
 
-def near_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    similarity: float = SIMILARITY,
-    radius: int = RADIUS,
-    samples: int = SAMPLES,
-    shard_rows: int = 1024,
-) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id."""
-    work = Workspace(docs.sparkSession)
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
-    texts = keyed.select(F.col(id_col).cast("long").alias("id"), "_row", F.col(text_col).cast("string").alias("text"))
 
-    def sketch(batches):
-        for batch in batches:
-            content, fps, keys, marks, sizes = [], [], [], [], []
-            for row, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                h = shingle_hashes(text, shingle)
-                content.append(signed(xxhash.xxh64_intdigest(b" ".join(words), 1)) if words else row)
-                distinct = np.unique(h)
-                fps.append(signed(majority_bits(distinct)))
-                sizes.append(len(distinct))
-                keys.append(distinct[:samples].view(np.int64).tolist())
-                marks.append((distinct[:MARKS] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(marks, pa.list_(pa.int32())), pa.array(sizes, pa.int32())],
-                ["id", "_row", "content", "fp", "keys", "marks", "size"],
-            )
-
-    rows = work.table(texts.mapInArrow(sketch, "id long, _row long, content long, fp long, keys array<long>, marks array<int>, size int"), "sketches")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
-    firsts = work.table(rows.groupBy("content").agg(F.min(place).alias("first")), "firsts")
-    keyed_rows = work.table(rows.select("content", "fp", "marks", "size", F.explode("keys").alias("key")).dropDuplicates(["content", "key"]), "keyed")
-    groups = (
-        shard_groups(keyed_rows, ["key"], F.col("content"), shard_rows, work, "loose")
-        .groupBy("key", "_i", "_j")
-        .agg(F.collect_list(F.struct("content", "fp", "marks", "size")).alias("rows"))
-        .select("rows")
-    )
-
-    def loose(batches):
-        for batch in batches:
-            a, b = [], []
-            for members in batch.column(0).to_pylist():
-                names, values = [m["content"] for m in members], [m["fp"] & _U64 for m in members]
-                if radius <= TREE_RADIUS:
-                    _edges(spanning_links(values, radius), names, a, b)
-                    continue
-                # as unsigned numbers, in the order of the whole hashes
-                sets = [{x & 0xFFFFFFFF for x in m["marks"]} for m in members]
-                size = np.array([m["size"] for m in members])
+def _with_leaders(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows (content, n) of large keys with a shard; about LEADERS rows of a key are in all its shards."""
+    turn = F.pmod(F.xxhash64("content", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shards = F.ceil(F.col("n") / shard_rows).cast("long")
+    own = F.pmod(F.xxhash64("content", F.lit(7)), shards)
+    every = F.when(turn < LEADERS / F.col("n"), F.sequence(F.lit(0).cast("long"), shards - 1)).otherwise(F.array(own))
+    return rows.withColumn("_shard", F.explode(every))
 
-                def alike(at, left, near):
-                    fits = np.minimum(size[left], size[at]) >= similarity * np.maximum(size[left], size[at]) - 1e-9  # noqa: B023
-                    rest = np.flatnonzero(fits & ~near)
-                    near = near & fits
-                    near[rest] = [may_be_similar(sets[at], sets[i], size[at], size[i], similarity) for i in left[rest].tolist()]  # noqa: B023
-                    return near
 
-                _edges(scan_links(np.array(values, np.uint64), radius, alike), names, a, b)
-            yield _batch(a, b)
+def _components(rows: DataFrame, values: DataFrame, samples: DataFrame, shard_rows: int, find, work: Workspace, name: str) -> DataFrame:
+    """(node, root) of the graph that ``find`` sees among the values of contents that share a key.
 
-    candidates = work.table(groups.mapInArrow(loose, "a long, b long").distinct(), "candidates")
-    clusters = work.table(connected_components(candidates, work, "loose").withColumnRenamed("node", "content"), "clusters")
-    wanted = clusters.join(firsts, "content").select(F.col("first._row").alias("_row"), "content")
+    ``rows`` has (key, content), ``values`` (content, value) and ``samples`` (content, keys): of linked
+    contents that share a key, those share one of the latter, too.
+    """
+    counts = work.table(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts")
+    shared = work.table(spread_join(rows, counts, "key", "n", rows.count()), f"{name}-shared")
+    small, large = shared.where(F.col("n") <= shard_rows), shared.where(F.col("n") > shard_rows)
+    edges = _links(_gathered(small, ["key"], values), find)
+    several = bool(large.take(1))
+    if several:
+        edges = edges.unionByName(_links(_gathered(_with_leaders(large, shard_rows), ["key", "_shard"], values), find))
+    edges = work.table(edges.distinct(), f"{name}-edges")
+    nodes = work.table(connected_components(edges, work, name), f"{name}-nodes")
+    if several:
+        root = F.coalesce("root", "content")
+        parts = large.join(nodes.withColumnRenamed("node", "content"), "content", "left").groupBy("key")
+        parted = parts.agg(F.count("*").alias("n"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high")
+        parted = work.table(parted.select("key", "n"), f"{name}-parted")
+        if parted.take(1):
+            again = spread_join(large.drop("n"), parted, "key", "n", large.count()).join(samples, "content")
+            finer = F.explode(F.filter("keys", lambda k: k != F.col("key")))
+            again = work.table(again.select("key", "content", finer.alias("finer")), f"{name}-finer")
+            groups = shard_groups(again, ["key", "finer"], F.col("content"), shard_rows, work, f"{name}-finer")
+            more = _links(_gathered(groups, ["key", "finer", "_i", "_j"], values), find)
+            edges = work.table(edges.unionByName(more).distinct(), f"{name}-edges-2")
+            nodes = work.table(connected_components(edges, work, name), f"{name}-nodes-2")
+            work.drop(f"{name}-finer", f"{name}-finer-sizes", f"{name}-edges-2", f"{name}-nodes")
+    work.drop(f"{name}-counts", f"{name}-shared", f"{name}-edges", f"{name}-parted")
+    return nodes
+
+
+class NearCopies:
+    """The near copies of a table: one of its answers, ``classes`` or ``stays``, may be asked for.
+
+    ``rows`` has (id, _row, content, ...) of every row, ``firsts`` (content, first, n) the first row and the
+    number of rows of each content, ``nodes`` (content, root) the contents that have near copies.
+    """
 
-    def shingle_sets(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
-
-    sets = texts.join(wanted, "_row").dropDuplicates(["content"]).select("content", "text")
-    sets = sets.mapInArrow(shingle_sets, "content long, shingles array<long>")
-    verified = (
-        shard_groups(clusters, ["root"], F.col("content"), shard_rows // 4, work, "exact")
-        .join(sets, "content")
-        .groupBy("root", "_i", "_j")
-        .agg(F.collect_list(F.struct("content", "shingles")).alias("rows"))
-        .select("rows")
-    )
-
-    def verify(batches):
-        for batch in batches:
-            a, b = [], []
-            for members in batch.column(0):
-                names = [m["content"].as_py() for m in members]
-                own = [m["shingles"].values.to_numpy() for m in members]
-                _edges(similar_links(own, similarity), names, a, b)
-            yield _batch(a, b)
-
-    edges = work.table(verified.mapInArrow(verify, "a long, b long").distinct(), "edges")
-    groups_of = connected_components(edges, work, "exact").withColumnRenamed("node", "content")
-    stays = (
-        firsts.join(groups_of, "content", "left")
-        .groupBy(F.coalesce("root", "content").alias("class"))
-        .agg(F.min("first").alias("first"))
-        .select("first._row")
-    )
-    stays = work.table(stays, "stays")
-    work.drop("sketches", "firsts", "keyed", "loose-sizes", "candidates", "clusters", "exact-sizes", "edges")
-    kept = keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    def __init__(
+        self,
+        docs: DataFrame,
+        id_col: str = "doc_id",
+        text_col: str = "text",
+        shingle: int = SHINGLE,
+        similarity: float = SIMILARITY,
+        radius: int = RADIUS,
+        samples: int = SAMPLES,
+        shard_rows: int = SHARD_ROWS,
+    ):
+        work = self.work = Workspace(docs.sparkSession)
+        id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+        texts = docs.select(id_.alias("id"), row_key(id_, text).alias("_row"), text.alias("text"))
+
+        def sketch(batches):
+            for batch in batches:
+                content, fps, keys = [], [], []
+                for row, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                    distinct = np.unique(shingle_hashes(text, shingle))
+                    content.append(signed(xxhash.xxh64_intdigest(b" ".join(words) if words else row, bool(words))))
+                    fps.append(wide_fingerprint(distinct).view(np.int64).tolist())
+                    keys.append(distinct[: samples + MORE_SAMPLES].view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "_row", "content", "value", "keys"],
+                )
+
+        rows = work.table(texts.mapInArrow(sketch, "id long, _row binary, content long, value array<long>, keys array<long>"), "rows")
+        place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
+        firsts = rows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        self.rows, self.firsts = rows, work.table(firsts, "firsts")
+        one = rows.join(self.firsts.select("first._row", "content"), ["_row", "content"]).dropDuplicates(["content"])
+        one = work.table(one.select("content", "value", "keys"), "contents")
+
+        def near(values, cuts):
+            return tree_links(values.reshape(-1, WORDS), radius)
+
+        sampled = one.select("content", F.explode(F.slice("keys", 1, samples)).alias("key"))
+        loose = _components(sampled, one.select("content", "value"), one.select("content", "keys"), shard_rows, near, work, "loose")
+        clusters = loose.select(F.col("node").alias("content"), "root")
+        wanted = clusters.join(self.firsts, "content").select(F.col("first._row").alias("_row"), "content")
+
+        def shingle_sets(batches):
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["content", "value"])
+
+        sets = texts.join(wanted, "_row").dropDuplicates(["content"]).select("content", "text")
+        sets = work.table(sets.mapInArrow(shingle_sets, "content long, value array<long>"), "sets")
+
+        def similar(values, cuts):
+            return similar_links([values[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], similarity)
+
+        of_root = clusters.select(F.col("root").alias("key"), "content")
+        keys = one.select("content", F.slice("keys", 1, samples).alias("keys"))
+        exact = _components(of_root, sets, keys, max(2, shard_rows // 4), similar, work, "exact")
+        self.nodes = exact.select(F.col("node").alias("content"), "root")
+        work.drop("contents", "loose-nodes", "loose-nodes-2", "sets")
+
+    def classes(self) -> DataFrame:
+        """(_row, near): the class of each different row that has a near copy or an exact one."""
+        several = self.firsts.join(self.nodes, "content", "left").where("root is not null or n > 1")
+        several = several.select("content", "n", F.coalesce("root", "content").alias("near"))
+        found = spread_join(self.rows.select("_row", "content"), several, "content", "n", self.rows.count())
+        return self.work.only(found.select("_row", "near").distinct(), "classes")
+
+    def stays(self) -> DataFrame:
+        """(_row): of each class the row with the smallest id."""
+        best = self.firsts.join(self.nodes, "content", "left").groupBy(F.coalesce("root", "content").alias("class"))
+        return self.work.only(best.agg(F.min("first").alias("first")).select("first._row"), "stays")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest id."""
+    stays = NearCopies(docs, id_col, text_col, **settings).stays()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
+    own = row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("_row")
+    kept = docs.select(whole, own).join(stays, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*(F.col(f"doc.`{c}`") for c in docs.columns))

@@ -16,14 +16,14 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: i
 
     ``size`` is the table's count of rows by key, and ``total`` at least their sum. Keys of more than
     ``HOT_ROWS`` rows, or of more than the ``HOT_KEYS``th part of all rows if that is more, are joined by
-    broadcast: there are HOT_KEYS of them at most, whatever the size of the input. The size column goes.
+    broadcast: there are HOT_KEYS of them at most, whatever the size of the input.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
     if total <= limit:
-        return rows.join(table.drop(size), key)
+        return rows.join(table, key)
     hot = table.where(F.col(size) > limit)
-    spread = rows.join(F.broadcast(hot), key).drop(size)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(size) <= limit).drop(size), key)
+    spread = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(size) <= limit), key)
     return spread.unionByName(others)
 
 

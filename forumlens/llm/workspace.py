@@ -64,6 +64,14 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """A table, after which all others of the workspace are deleted."""
+        out = self.table(df, name)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.drop(*(f for f in (x.getPath().getName() for x in system.listStatus(root)) if f != name))
+        return out
+
     def drop(self, *names: str) -> None:
         """Deletes the named tables, or the whole workspace."""
         for place in [f"{self.root}/{n}" for n in names] or [self.root]:
