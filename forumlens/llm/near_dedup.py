@@ -18,8 +18,8 @@ one by which a link can be lost; texts of up to 8 shingles lose none.
 No step copies the rows of a large group against each other at once. A group of more than ``shard_rows``
 rows is split into shards that all hold the group's ``LEADERS`` as well, so a dense group, of copies of
 each other, is connected with a linear number of rows. A group that this leaves in several parts is taken
-up again under finer keys (two shared samples; in the verification, one), and only where such a finer
-group is larger than ``shard_rows``, too, do its shards meet in pairs. So nothing is capped.
+up again under finer keys (two shared samples; in the verification, one): there the rows outside the
+largest part meet the rows that share a finer key with them. Nothing is capped.
 
 Edge cases: texts without words equal only rows with the same id and text; null ids come last in the
 order that decides who stays; rows with the same id and text count as copies; an empty table gives an
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shards import shard_groups, spread_join
+from .shards import spread_join
 from .simhash import shingle_hashes, signed
 from .workspace import Workspace, row_key
 
@@ -197,6 +197,32 @@ def _with_leaders(rows: DataFrame, shard_rows: int) -> DataFrame:
     return rows.withColumn("_shard", F.explode(every))
 
 
+def _finer_groups(rows: DataFrame, samples: DataFrame, shard_rows: int, work: Workspace, name: str) -> DataFrame:
+    """Rows (key, content, root, big) of keys in several parts -> (key, finer, _s, _t, content): the rows
+    outside the key's largest part, ``big``, meet all rows with which they share a finer key.
+
+    A finer group of more than ``shard_rows`` rows is split: its shards ``_s`` of all rows meet the shards
+    ``_t`` of the rows outside the largest part, mostly one, so that copies stay linear.
+    """
+    finer = F.explode(F.filter("keys", lambda k: k != F.col("key"))).alias("finer")
+    wide = rows.join(samples, "content")
+    wanted = wide.where("root <> big").select("key", finer).distinct()
+    wanted = work.table(wanted, f"{name}-wanted")
+    own = wide.select("key", "content", (F.col("root") != F.col("big")).alias("apart"), finer).join(wanted, ["key", "finer"], "left_semi")
+    own = work.table(own, f"{name}-finer")
+    sizes = own.groupBy("key", "finer").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("n > 1")
+    sizes = work.table(sizes, f"{name}-sizes")
+    zero = F.lit(0).cast("long")
+    s, t = (F.ceil(F.col(c) / shard_rows).cast("long") for c in ("n", "m"))
+    s = F.when(F.col("n") <= shard_rows, 1).otherwise(s)
+    t = F.when(F.col("n") <= shard_rows, 1).otherwise(t)
+    at, other = F.pmod(F.xxhash64("content", F.lit(7)), s), F.pmod(F.xxhash64("content", F.lit(3)), t)
+    down = F.transform(F.sequence(zero, t - 1), lambda x: F.struct(at.alias("_s"), x.alias("_t")))
+    across = F.transform(F.sequence(zero, s - 1), lambda x: F.struct(x.alias("_s"), other.alias("_t")))
+    met = F.when(F.col("apart"), F.array_distinct(F.concat(down, across))).otherwise(down)
+    return own.join(sizes, ["key", "finer"]).select("key", "finer", "content", F.explode(met).alias("g")).select("key", "finer", "g._s", "g._t", "content")
+
+
 def _components(rows: DataFrame, values: DataFrame, samples: DataFrame, shard_rows: int, find, work: Workspace, name: str) -> DataFrame:
     """(node, root) of the graph that ``find`` sees among the values of contents that share a key.
 
@@ -213,20 +239,19 @@ def _components(rows: DataFrame, values: DataFrame, samples: DataFrame, shard_ro
     edges = work.table(edges.distinct(), f"{name}-edges")
     nodes = work.table(connected_components(edges, work, name), f"{name}-nodes")
     if several:
-        root = F.coalesce("root", "content")
-        parts = large.join(nodes.withColumnRenamed("node", "content"), "content", "left").groupBy("key")
-        parted = parts.agg(F.count("*").alias("n"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high")
-        parted = work.table(parted.select("key", "n"), f"{name}-parted")
+        own = large.drop("n").join(nodes.withColumnRenamed("node", "content"), "content", "left")
+        own = work.table(own.withColumn("root", F.coalesce("root", "content")), f"{name}-large")
+        parts = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+        parted = parts.agg(F.sum("c").alias("n"), F.max_by("root", "c").alias("big"), F.count("*").alias("parts")).where("parts > 1")
+        parted = work.table(parted.select("key", "n", "big"), f"{name}-parted")
         if parted.take(1):
-            again = spread_join(large.drop("n"), parted, "key", "n", large.count()).join(samples, "content")
-            finer = F.explode(F.filter("keys", lambda k: k != F.col("key")))
-            again = work.table(again.select("key", "content", finer.alias("finer")), f"{name}-finer")
-            groups = shard_groups(again, ["key", "finer"], F.col("content"), shard_rows, work, f"{name}-finer")
-            more = _links(_gathered(groups, ["key", "finer", "_i", "_j"], values), find)
+            groups = _finer_groups(spread_join(own, parted, "key", "n", own.count()), samples, shard_rows, work, name)
+            more = _links(_gathered(groups, ["key", "finer", "_s", "_t"], values), find)
             edges = work.table(edges.unionByName(more).distinct(), f"{name}-edges-2")
             nodes = work.table(connected_components(edges, work, name), f"{name}-nodes-2")
-            work.drop(f"{name}-finer", f"{name}-finer-sizes", f"{name}-edges-2", f"{name}-nodes")
-    work.drop(f"{name}-counts", f"{name}-shared", f"{name}-edges", f"{name}-parted")
+            work.drop(*(f"{name}-{x}" for x in ("finer", "sizes", "wanted", "edges-2", "nodes")))
+        work.drop(f"{name}-large", f"{name}-parted")
+    work.drop(f"{name}-counts", f"{name}-shared", f"{name}-edges")
     return nodes
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-HOT_ROWS = 50_000
+HOT_ROWS = 4096
 HOT_KEYS = 10_000
 
 
