@@ -3,9 +3,9 @@
 Near copies are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at
 least ``similarity``. 64-bit fingerprints of near copies at 0.8 differ in 5 to 20 bits, which neither
 blocks of bits nor a radius tell from chance; so the fingerprints here have 256 bits. At 0.8 a bit
-differs with a probability of 0.12 to 0.19, by the size of the sets, and of unrelated texts 0.5: the
-radius of 96 bits is 7 standard deviations above the worst of the former (a chance below 1e-12) and 4
-below the latter. The steps are:
+differs with a probability of up to 0.16 in sets of 24 shingles or more, of up to 0.19 in smaller ones;
+the radii, 76 and 96 bits, lie 6 and 7 standard deviations above that (a chance of 1e-8 at most), and of
+unrelated texts half of the bits differ. The steps are:
 
 1. texts with equal word sequences count as one text;
 2. texts that share one of their ``samples`` smallest shingle hashes meet in bounded groups; a BK-tree of
@@ -42,12 +42,14 @@ from .workspace import Workspace, row_key
 SHINGLE = 5
 SIMILARITY = 0.8
 WORDS = 4  # of 64 bits in a fingerprint
-RADIUS = 96
+RADIUS = 76
+SMALL_SET = 24
+SMALL_RADIUS = 96
 SAMPLES = 8
 MORE_SAMPLES = 16
 LEADERS = 32
 SHARD_ROWS = 1024
-LEAF = 64
+LEAF = 256
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -69,56 +71,49 @@ def bits_apart(values: np.ndarray, one: np.ndarray) -> np.ndarray:
 class WideTree:
     """A BK-tree of fingerprints (n, words): a node's children are keyed by their distance to it.
 
-    Children of up to LEAF values are kept as they are and looked through. Values can be taken out.
+    Children of up to LEAF values are not divided further; those of a node lie in one array by distance,
+    so the edges within the radius are a slice of it. Values can be taken out. Each value has a radius;
+    two are near within the larger of theirs.
     """
 
-    def __init__(self, values: np.ndarray):
-        self.values, self.left = values, np.ones(len(values), bool)
+    def __init__(self, values: np.ndarray, radii: np.ndarray):
+        self.values, self.radii, self.left = values, radii, np.ones(len(values), bool)
+        self.widest = int(radii.max(initial=0))
         self.root = self._node(np.arange(len(values)))
 
-    def _node(self, own: np.ndarray):
-        root, todo = None, [(None, 0, own)]
-        while todo:
-            parent, edge, own = todo.pop()
-            if len(own) <= LEAF:
-                node = own
-            else:
-                node = (int(own[0]), {})
-                apart = bits_apart(self.values[own[1:]], self.values[own[0]])
-                for d in np.unique(apart).tolist():
-                    members = own[1:][apart == d]
-                    if d == 0:  # equal values: further ones would only make a chain
-                        node[1][0] = members
-                    else:
-                        todo.append((node, d, members))
-            if parent is None:
-                root = node
-            else:
-                parent[1][edge] = node
-        return root
-
-    def take(self, value: np.ndarray, radius: int) -> list[int]:
-        """Takes out and returns the values within the radius of a value."""
-        found, stack = [], [self.root]
+    def _node(self, own: np.ndarray) -> tuple:
+        """(value, distances, values at these distances, {distance: child that is divided})."""
+        apart = bits_apart(self.values[own[1:]], self.values[own[0]])
+        large = np.flatnonzero(np.bincount(apart) > LEAF)
+        large = large[large > 0]  # equal values would only make a chain
+        deeper = {d: self._node(own[1:][apart == d]) for d in large.tolist()}
+        flat = np.flatnonzero(~np.isin(apart, large))
+        flat = flat[np.argsort(apart[flat], kind="stable")]
+        return int(own[0]), apart[flat], own[1:][flat], deeper
+
+    def take(self, one: int) -> list[int]:
+        """Takes out and returns the values near to one of them."""
+        found, stack, value, reach = [], [self.root], self.values[one], self.widest
         while stack:
-            node = stack.pop()
-            if isinstance(node, np.ndarray):
-                own = node[self.left[node]]
-                if len(own):
-                    found += own[bits_apart(self.values[own], value) <= radius].tolist()
-                continue
-            at, kids = node
+            at, edges, members, deeper = stack.pop()
             distance = int(np.bitwise_count(self.values[at] ^ value).sum())
-            if distance <= radius and self.left[at]:
+            if self.left[at] and distance <= max(self.radii[at], self.radii[one]):
                 found.append(at)
-            stack += [kid for edge, kid in kids.items() if distance - radius <= edge <= distance + radius]
+            low, high = np.searchsorted(edges, (distance - reach, distance + reach + 1))
+            own = members[low:high]
+            own = own[self.left[own]]
+            if len(own):
+                found += own[bits_apart(self.values[own], value) <= np.maximum(self.radii[own], self.radii[one])].tolist()
+            stack += [kid for edge, kid in deeper.items() if distance - reach <= edge <= distance + reach]
         self.left[found] = False
         return found
 
 
-def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the fingerprints within the radius."""
-    tree, links = WideTree(values), []
+def tree_links(values: np.ndarray, radii: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the fingerprints that are near each other."""
+    if len(values) == 2:
+        return [(0, 1)] if bits_apart(values[:1], values[1])[0] <= radii.max() else []
+    tree, links = WideTree(values, radii), []
     for start in range(len(values)):
         if not tree.left[start]:
             continue
@@ -126,21 +121,33 @@ def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         frontier = [start]
         while frontier:
             at = frontier.pop()
-            near = tree.take(values[at], radius)
+            near = tree.take(at)
             links += [(at, i) for i in near]
             frontier += near
     return links
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of sets (distinct hashes) with at least this similarity."""
+    """Index pairs of a spanning forest of sets (distinct hashes) with at least this similarity.
+
+    A set of which more than 1 - similarity stands in no other set is similar to none, so it is left out,
+    again and again until no set is.
+    """
     size = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
     row = np.repeat(np.arange(len(sets)), size)
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    left, links = np.ones(len(sets), bool), []
-    for first in range(len(sets)):
+    left = np.ones(len(sets), bool)
+    while True:
+        alone = np.bincount(row[np.bincount(flat)[flat] == 1], minlength=len(sets)) if len(flat) else size
+        out = left & (alone > (1 - similarity) * size + 1e-9)
+        if not out.any():
+            break
+        left &= ~out
+        kept = left[row]
+        row, flat = row[kept], flat[kept]
+    start = np.searchsorted(row, np.arange(len(sets) + 1))
+    mark, links = np.zeros(int(flat.max(initial=0)) + 1, bool), []
+    for first in np.flatnonzero(left).tolist():
         if not left[first]:
             continue
         left[first] = False
@@ -149,7 +156,7 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
             at = frontier.pop()
             if not left.any():
                 return links
-            own = flat[start[at] : start[at] + size[at]]
+            own = flat[start[at] : start[at + 1]]
             mark[own] = True
             common = np.bincount(row[mark[flat]], minlength=len(sets))
             mark[own] = False
@@ -270,6 +277,7 @@ class NearCopies:
         shingle: int = SHINGLE,
         similarity: float = SIMILARITY,
         radius: int = RADIUS,
+        small_radius: int = SMALL_RADIUS,
         samples: int = SAMPLES,
         shard_rows: int = SHARD_ROWS,
     ):
@@ -284,7 +292,8 @@ class NearCopies:
                     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                     distinct = np.unique(shingle_hashes(text, shingle))
                     content.append(signed(xxhash.xxh64_intdigest(b" ".join(words) if words else row, bool(words))))
-                    fps.append(wide_fingerprint(distinct).view(np.int64).tolist())
+                    reach = radius if len(distinct) >= SMALL_SET else small_radius
+                    fps.append([*wide_fingerprint(distinct).view(np.int64).tolist(), reach])
                     keys.append(distinct[: samples + MORE_SAMPLES].view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
@@ -299,7 +308,8 @@ class NearCopies:
         one = work.table(one.select("content", "value", "keys"), "contents")
 
         def near(values, cuts):
-            return tree_links(values.reshape(-1, WORDS), radius)
+            values = values.reshape(-1, WORDS + 1)
+            return tree_links(np.ascontiguousarray(values[:, :WORDS]), values[:, WORDS].astype(np.int64))
 
         sampled = one.select("content", F.explode(F.slice("keys", 1, samples)).alias("key"))
         loose = _components(sampled, one.select("content", "value"), one.select("content", "keys"), shard_rows, near, work, "loose")

@@ -57,7 +57,7 @@ def test_links_connect_what_is_close():
     values[300:] = values[:100]
     for radius in (4, 6):
         root = list(range(400))
-        for a, b in nd.tree_links(values, radius):
+        for a, b in nd.tree_links(values, np.full(400, radius)):
             assert nd.bits_apart(values[a : a + 1], values[b])[0] <= radius
             root = [root[a] if r == root[b] else r for r in root]
         for i in range(400):
@@ -66,17 +66,35 @@ def test_links_connect_what_is_close():
 
 def test_fingerprints_of_similar_sets_are_within_the_radius():
     rng = np.random.default_rng(5)
-    worst, least = 0, 256
-    for _ in range(3000):
-        n = int(rng.choice([4, 5, 8, 9, 12, 20, 50, 300]))
+    worst, least = {}, 256
+    for _ in range(4000):
+        n = int(rng.choice([4, 5, 8, 9, 12, 20, 24, 30, 50, 300]))
         a = rng.integers(0, 1 << 63, n).astype(np.uint64)
         gone = int(rng.integers(0, n // 5 + 1))
         b = np.append(a[gone:], rng.integers(0, 1 << 63, int(n * 0.25 - gone * 1.25)).astype(np.uint64))
         assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
         x, y = nd.wide_fingerprint(a), nd.wide_fingerprint(b)
-        worst = max(worst, nd.bits_apart(x[None], y)[0])
+        small = min(len(a), len(b)) < nd.SMALL_SET
+        worst[small] = max(worst.get(small, 0), nd.bits_apart(x[None], y)[0])
         least = min(least, nd.bits_apart(x[None], nd.wide_fingerprint(rng.integers(0, 1 << 63, n).astype(np.uint64)))[0])
-    assert worst < nd.RADIUS - 15 and least > 80
+    assert worst[True] < nd.SMALL_RADIUS - 15 and worst[False] < nd.RADIUS - 8 and least > 80
+
+
+def test_similar_links_equal_brute_force():
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 400, int(rng.integers(1, 60))) for _ in range(30)]
+    sets = [np.unique(np.append(rng.choice(b, max(1, int(len(b) * 0.93)), replace=False), rng.integers(0, 400, 2))) for b in base for _ in range(4)]
+    root = list(range(len(sets)))
+    for a, b in nd.similar_links(sets, 0.8):
+        root = [root[a] if r == root[b] else r for r in root]
+    want = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(np.intersect1d(x, sets[j])) >= 0.8 * len(np.union1d(x, sets[j])):
+                want = [want[i] if r == want[j] else r for r in want]
+    pairs = lambda r: {(i, j) for i in range(len(r)) for j in range(i) if r[i] == r[j]}
+    assert pairs(root) == pairs(want) and pairs(want)
+    assert nd.similar_links([np.array([1, 2]), np.array([3])], 0.8) == []
 
 
 def test_repeated_phrases_do_not_hide_copies(spark):
