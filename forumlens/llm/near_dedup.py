@@ -18,8 +18,9 @@ one by which a link can be lost; texts of up to 8 shingles lose none.
 No step copies the rows of a large group against each other at once. A group of more than ``shard_rows``
 rows is split into shards that all hold the group's ``LEADERS`` as well, so a dense group, of copies of
 each other, is connected with a linear number of rows. A group that this leaves in several parts is taken
-up again under finer keys (two shared samples; in the verification, one): there the rows outside the
-largest part meet the rows that share a finer key with them. Nothing is capped.
+up again: the rows outside the largest part, if they fit a shard, meet all shards; more of them meet the
+rows that share a finer key with them (two shared samples of ``samples + MORE_SAMPLES``; in the
+verification, one), which a pair at 0.8 lacks with a chance of 0.2 ** 11. Nothing is capped.
 
 Edge cases: texts without words equal only rows with the same id and text; null ids come last in the
 order that decides who stays; rows with the same id and text count as copies; an empty table gives an
@@ -46,7 +47,7 @@ RADIUS = 76
 SMALL_SET = 24
 SMALL_RADIUS = 96
 SAMPLES = 8
-MORE_SAMPLES = 16
+MORE_SAMPLES = 4
 LEADERS = 32
 SHARD_ROWS = 1024
 LEAF = 256
@@ -205,18 +206,20 @@ def _with_leaders(rows: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def _finer_groups(rows: DataFrame, samples: DataFrame, shard_rows: int, work: Workspace, name: str) -> DataFrame:
-    """Rows (key, content, root, big) of keys in several parts -> (key, finer, _s, _t, content): the rows
-    outside the key's largest part, ``big``, meet all rows with which they share a finer key.
+    """Rows (key, content, root, big, m) of keys in several parts -> (key, finer, _s, _t, content): the
+    ``m`` rows outside the key's largest part, ``big``, meet all rows of the key, or if they are many those
+    with which they share a finer key.
 
-    A finer group of more than ``shard_rows`` rows is split: its shards ``_s`` of all rows meet the shards
+    A group of more than ``shard_rows`` rows is split: its shards ``_s`` of all rows meet the shards
     ``_t`` of the rows outside the largest part, mostly one, so that copies stay linear.
     """
+    apart = (F.col("root") != F.col("big")).alias("apart")
     finer = F.explode(F.filter("keys", lambda k: k != F.col("key"))).alias("finer")
-    wide = rows.join(samples, "content")
-    wanted = wide.where("root <> big").select("key", finer).distinct()
-    wanted = work.table(wanted, f"{name}-wanted")
-    own = wide.select("key", "content", (F.col("root") != F.col("big")).alias("apart"), finer).join(wanted, ["key", "finer"], "left_semi")
-    own = work.table(own, f"{name}-finer")
+    wide = rows.where(F.col("m") > shard_rows).join(samples, "content")
+    wanted = work.table(wide.where("root <> big").select("key", finer).distinct(), f"{name}-wanted")
+    own = wide.select("key", "content", apart, finer).join(wanted, ["key", "finer"], "left_semi")
+    whole = rows.where(F.col("m") <= shard_rows).select("key", "content", apart, F.lit(0).cast("long").alias("finer"))
+    own = work.table(own.select("key", "content", "apart", "finer").unionByName(whole), f"{name}-finer")
     sizes = own.groupBy("key", "finer").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("n > 1")
     sizes = work.table(sizes, f"{name}-sizes")
     zero = F.lit(0).cast("long")
@@ -249,8 +252,8 @@ def _components(rows: DataFrame, values: DataFrame, samples: DataFrame, shard_ro
         own = large.drop("n").join(nodes.withColumnRenamed("node", "content"), "content", "left")
         own = work.table(own.withColumn("root", F.coalesce("root", "content")), f"{name}-large")
         parts = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-        parted = parts.agg(F.sum("c").alias("n"), F.max_by("root", "c").alias("big"), F.count("*").alias("parts")).where("parts > 1")
-        parted = work.table(parted.select("key", "n", "big"), f"{name}-parted")
+        parted = parts.agg(F.sum("c").alias("n"), F.max_by("root", "c").alias("big"), (F.sum("c") - F.max("c")).alias("m")).where("m > 0")
+        parted = work.table(parted, f"{name}-parted")
         if parted.take(1):
             groups = _finer_groups(spread_join(own, parted, "key", "n", own.count()), samples, shard_rows, work, name)
             more = _links(_gathered(groups, ["key", "finer", "_s", "_t"], values), find)
