@@ -19,9 +19,9 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: i
     broadcast: there are HOT_KEYS of them at most, whatever the size of the input.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
-    if total <= limit:
-        return rows.join(table, key)
     hot = table.where(F.col(size) > limit)
+    if total <= limit or not hot.take(1):
+        return rows.join(table, key)
     spread = rows.join(F.broadcast(hot), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(size) <= limit), key)
     return spread.unionByName(others)

@@ -1,6 +1,7 @@
 import os
 import random
 
+from forumlens.llm import shards
 from forumlens.llm.components import connected_components
 from forumlens.llm.shards import shard_groups
 from forumlens.llm.workspace import Workspace, scratch
@@ -30,9 +31,19 @@ def test_components_equal_union_find(spark):
     pairs = [*chain, *star, *noise, (7, 7), (None, 3), (4, None), noise[0], noise[0][::-1]]
     rng.shuffle(pairs)
     edges = spark.createDataFrame(pairs, "a long, b long")
-    got = connected_components(edges, Workspace(spark)).collect()
-    assert {r.node: r.root for r in got} == union_find(pairs) and len(got) == len(union_find(pairs))
-    assert connected_components(edges.limit(0), Workspace(spark)).count() == 0
+    for local_edges in (0, 1000):  # star steps, and one task
+        got = connected_components(edges, Workspace(spark), local_edges=local_edges).collect()
+        assert {r.node: r.root for r in got} == union_find(pairs) and len(got) == len(union_find(pairs))
+        assert connected_components(edges.limit(0), Workspace(spark), local_edges=local_edges).count() == 0
+
+
+def test_joins_of_hot_keys_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(shards, "HOT_ROWS", 5)
+    rows = [(k, i) for k, n in ((1, 40), (2, 3), (3, 6), (4, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    table = df.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    want = sorted(map(tuple, df.join(table, "k").collect()))
+    assert sorted(map(tuple, shards.spread_join(df, table, "k", "n", len(rows)).collect())) == want
 
 
 def test_every_pair_of_a_key_meets_in_a_bounded_group(spark):
