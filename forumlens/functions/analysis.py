@@ -30,7 +30,7 @@ def prompt(title: Column, author: Column, content: Column, pushes: Column) -> Co
     n = F.coalesce(F.size(pushes), F.lit(0))
     note = F.when(n > MAX_PUSHES, f"，僅顯示前 {MAX_PUSHES} 則").otherwise("")
     lines = F.transform(
-        F.slice(pushes, 1, MAX_PUSHES), lambda p: F.concat(p["tag"], F.lit(" "), p["user_id"], F.lit(": "), F.coalesce(p["content"], F.lit("")))
+        F.slice(pushes, 1, MAX_PUSHES), lambda p: F.concat(F.coalesce(p["tag"], F.lit("")), F.lit(" "), F.coalesce(p["user_id"], F.lit("")), F.lit(": "), F.coalesce(p["content"], F.lit("")))
     )
     said = F.concat(F.lit("\n--- 推文（共 "), n.cast("string"), F.lit(" 則"), note, F.lit("）---\n"), F.array_join(lines, "\n"))
     return F.concat_ws(

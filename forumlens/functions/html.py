@@ -61,6 +61,12 @@ class _Builder(HTMLParser):
         self.root = Node("", {})
         self.open = [self.root]
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown keyword: passed over up to its end, as browsers do
+            return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)

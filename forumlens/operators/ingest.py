@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
+from . import state as S
 
 VANISH_GUARD = 100
 MIN_INTERVAL, MAX_INTERVAL = 120, 604800
@@ -168,22 +169,21 @@ def backfill_step(entries: DataFrame, window_bottom: int, first: int, last: int)
     )
 
 
-def discover(pages: Callable[[list[str]], DataFrame], start: str = "/cls/1", max_depth: int = 20) -> DataFrame | None:
+def discover(pages: Callable[[list[str]], DataFrame], start: str = "/cls/1") -> DataFrame | None:
     """Boards below a category, level by level, each page once: (name, title, user_count, category_path).
 
-    ``pages`` gives (url, body) for paths. The frontier of a level is the driver's work list, a path
-    for each category.
+    ``pages`` gives (url, body) for paths, and is read once for each level. The frontier of a level is the
+    driver's work list, a path for each category; a category already seen is not entered again, so the walk
+    ends whatever its depth. A board of several categories has the first path in order.
     """
     seen, level, found = {start}, {start: ""}, None
-    for _ in range(max_depth):
-        if not level:
-            break
+    while level:
         parents = [(u, p) for u, p in level.items()]
         fetched = pages(list(level))
         above = fetched.sparkSession.createDataFrame(parents, "url string, parent string")
         rows = fetched.join(F.broadcast(above), "url").select("parent", F.explode(H.parse_category(F.col("body"))).alias("e"))
         path = F.when(F.col("parent") == "", F.col("e.name")).otherwise(F.concat("parent", F.lit(" > "), "e.name"))
-        rows = rows.select("e.*", path.alias("path"))
+        rows = rows.select("e.*", path.alias("path")).persist()
         boards = rows.where("is_board").select(
             "name", X.empty_to_null(F.col("title")).alias("title"),
             F.when(F.col("user_count") > 0, F.col("user_count").cast("long")).alias("user_count"), X.empty_to_null(F.col("path")).alias("category_path"),
@@ -194,4 +194,14 @@ def discover(pages: Callable[[list[str]], DataFrame], start: str = "/cls/1", max
             if r.href not in seen:
                 seen.add(r.href)
                 level[r.href] = r.path
-    return found
+    first = F.min(F.struct(F.coalesce("category_path", F.lit("")).alias("p"), "title", "user_count", "category_path")).alias("f")
+    return found.groupBy("name").agg(first).select("name", "f.title", "f.user_count", "f.category_path")
+
+
+def apply_hot_list(boards: DataFrame, pages: DataFrame, now: int) -> DataFrame:
+    """Boards after a page (body) of the hot list: its boards are upserted and marked hot, none is unmarked."""
+    listed = pages.select(F.explode(H.parse_hot_boards(F.col("body"))).alias("e")).select("e.name", "e.title", F.col("e.n_user").cast("long").alias("user_count"))
+    known = boards.select("name", "category_path")  # the list shows no category
+    out = S.upsert_boards(boards, listed.join(known, "name", "left"), now)
+    hit = listed.select("name").distinct().withColumn("_hit", F.lit(True))
+    return out.join(hit, "name", "left").withColumn("is_hot", F.col("is_hot") | F.coalesce("_hit", F.lit(False))).select(boards.columns)

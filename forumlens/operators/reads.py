@@ -5,6 +5,8 @@ Every limit has a total order before it, with the key as the last tiebreak.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +54,13 @@ def hot_boards(t: Tables) -> DataFrame:
 def cards(t: Tables) -> DataFrame:
     """Live articles with their board and, if there is one, their insight (with or without an error)."""
     own = t["article_insights"].select(
-        F.col("article_id").alias("id"), "tldr", "sentiment", "controversy", X.parse_tags(F.col("tags")).alias("tags"), F.lit(True).alias("has_insight")
+        F.col("article_id").alias("id"), "tldr", "community_take", "sentiment", "controversy", X.parse_tags(F.col("tags")).alias("tags"), F.lit(True).alias("has_insight")
     )
     out = live(t).join(_boards(t), "board_id").join(own, "id", "left")
     return out.select(
         "id", "board_id", "board", "url_id", X.title_or_default(F.col("title")).alias("title"), "author", "posted_at", "mark",
         "push_count", "boo_count", "net_count", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("content_length"),
-        F.coalesce("has_insight", F.lit(False)).alias("has_insight"), "tldr", "sentiment", "controversy",
+        F.coalesce("has_insight", F.lit(False)).alias("has_insight"), "tldr", "community_take", "sentiment", "controversy",
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
     )
 
@@ -72,23 +74,40 @@ def board_page(t: Tables, board_id: int, page: int = 1, size: int = 30) -> DataF
     return top.withColumn("pinned", pinned).withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def ordered_pushes(pushes: DataFrame) -> DataFrame:
-    rows = F.struct("seq", "tag", "user_id", "content")
+def ordered_pushes(pushes: DataFrame, *more: str) -> DataFrame:
+    rows = F.struct("seq", "tag", "user_id", "content", *more)
     return pushes.groupBy("article_id").agg(F.array_sort(F.collect_list(rows)).alias("pushes"))
 
 
+_INSIGHT = ("key_points", "top_comments", "model", "article_type", "ad_likelihood", "factuality", "ai_generated", "push_facts", "qa_summary")
+
+
+def _detail(t: Tables, own: DataFrame, narrow: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Cards with text, address, the whole insight and all pushes in order; ``narrow`` keeps the rows of the
+    articles, given their id column."""
+    body = narrow(t["articles"], "id").select("id", "content", "ip")
+    insight = narrow(t["article_insights"], "article_id").select(
+        F.col("article_id").alias("id"), F.col("generated_at").alias("insight_generated_at"), *_INSIGHT,
+        X.parse_entities(F.col("entities")).alias("entities"), X.parse_stance(F.col("push_stance")).alias("push_stance"),
+    )
+    pushes = ordered_pushes(narrow(t["pushes"], "article_id"), "ipdatetime").withColumnRenamed("article_id", "id")
+    out = own.join(body, "id").join(insight, "id", "left").join(pushes, "id", "left")
+    none = F.array().cast("array<struct<seq:bigint,tag:string,user_id:string,content:string,ipdatetime:string>>")
+    named = F.array().cast("array<struct<name:string,type:string>>")
+    return out.withColumns({"pushes": F.coalesce("pushes", none), "entities": F.coalesce("entities", named)})
+
+
 def article_detail(t: Tables, article_ids: list[int]) -> DataFrame:
-    """Cards with text and all pushes in order, for any number of articles in one job."""
+    """Whole articles by id, any number of them in one job; the ids reach the scans."""
     own = cards(t).where(F.col("id").isin(article_ids))
-    body = t["articles"].where(F.col("id").isin(article_ids)).select("id", "content")
-    pushes = ordered_pushes(t["pushes"].where(F.col("article_id").isin(article_ids))).withColumnRenamed("article_id", "id")
-    out = own.join(body, "id").join(pushes, "id", "left")
-    none = F.array().cast("array<struct<seq:bigint,tag:string,user_id:string,content:string>>")
-    return out.withColumn("pushes", F.coalesce("pushes", none))
+    return _detail(t, own, lambda df, key: df.where(F.col(key).isin(article_ids)))
 
 
 def article_by_url(t: Tables, board: str, url_id: str) -> DataFrame:
-    return cards(t).where((F.col("board") == board) & (F.col("url_id") == url_id))
+    """The same for an article's address; (board, url_id) is a key, so its id can be broadcast."""
+    own = cards(t).where((F.col("board") == board) & (F.col("url_id") == url_id))
+    ids = live(t).where(F.col("url_id") == url_id).join(_boards(t).where(F.col("board") == board), "board_id").select("id")
+    return _detail(t, own, lambda df, key: df.join(F.broadcast(ids.withColumnRenamed("id", key)), key, "left_semi"))
 
 
 # authors

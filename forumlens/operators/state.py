@@ -2,12 +2,14 @@
 
 Parquet has no update in place, so every write makes a whole new snapshot, which a ``Store`` commits by
 writing a new version and then switching to it. A row of the changes wins over the table's row; of
-several changes to one key the last by ``_order`` wins.
+several changes to one key the last by the order given wins; without an order one of them does, chosen
+by a hash of its values.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,9 +19,7 @@ from ..schemas import TABLES
 
 
 def last_of_key(changes: DataFrame, key: tuple[str, ...] | list[str], order: str | None = None) -> DataFrame:
-    if order is None:
-        return changes.dropDuplicates(list(key))
-    newest = Window.partitionBy(*key).orderBy(F.desc(order))
+    newest = Window.partitionBy(*key).orderBy(F.desc(order) if order else F.xxhash64(*changes.columns))
     return changes.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
@@ -233,55 +233,86 @@ def finish_run(runs: DataFrame, run_id: int, status: str, now: int, **counters)
     return runs.withColumns({c: F.when(own, v.cast(runs.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+class Conflict(RuntimeError):
+    """Another commit came first."""
+
+
 class Store:
-    """Versioned snapshots of the tables under a root, switched by one small pointer file.
+    """Versioned snapshots of the tables under a root; the pointer file with the highest number is current.
 
-    ``commit`` writes all given tables as a new version and then moves the pointer, so readers see all
-    of a change or none of it; a lost executor or driver leaves the old version in place.
+    ``commit`` writes all given tables to folders of their own and then adds the next pointer with one
+    rename, so readers see all of a change or none of it, and a driver lost at any moment leaves the
+    version before in place. A commit whose base is no longer current raises Conflict. (That rests on a
+    rename that doesn't replace a file, as HDFS has it.)
     """
 
+    KEEP = 2  # versions, for readers that have begun
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> dict[str, int]:
-        pointer = self._path(f"{self.root}/_current")
-        if not self.fs.exists(pointer):
-            return {}
-        stream = self.fs.open(pointer)
+    def _pointers(self) -> list[int]:
+        root = self._path(self.root)
+        if not self.fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(root)]
+        return sorted(int(n.removeprefix("_current-")) for n in names if n.startswith("_current-"))
+
+    def _folders(self, number: int) -> dict[str, str]:
+        stream = self.fs.open(self._path(f"{self.root}/_current-{number}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def version(self) -> int:
+        return max(self._pointers(), default=0)
+
+    def versions(self) -> dict[str, str]:
+        """The folder of each table that has been written."""
+        current = self.version()
+        return self._folders(current) if current else {}
+
     def read(self, name: str) -> DataFrame:
-        version = self.versions().get(name)
-        if version is None:
+        folder = self.versions().get(name)
+        if folder is None:
             return self.spark.createDataFrame([], TABLES[name].schema)
-        return self.spark.read.schema(TABLES[name].schema).parquet(f"{self.root}/{name}/v{version}")
+        return self.spark.read.schema(TABLES[name].schema).parquet(f"{self.root}/{name}/{folder}")
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in TABLES}
 
-    def commit(self, **changed: DataFrame) -> None:
-        old = self.versions()
-        new = dict(old)
+    def commit(self, base: int | None = None, **changed: DataFrame) -> int:
+        """Writes the tables on top of version ``base`` (the current one) and returns the new version."""
+        base = self.version() if base is None else base
+        new = self._folders(base) if base else {}
+        token = uuid.uuid4().hex[:12]
         for name, df in changed.items():
-            new[name] = old.get(name, 0) + 1
-            df.select(TABLES[name].schema.names).write.mode("overwrite").parquet(f"{self.root}/{name}/v{new[name]}")
-        draft = self._path(f"{self.root}/_next")
+            new[name] = f"v{base + 1}-{token}"
+            df.select(TABLES[name].schema.names).write.parquet(f"{self.root}/{name}/{new[name]}")
+        draft, pointer = self._path(f"{self.root}/_draft-{token}"), self._path(f"{self.root}/_current-{base + 1}")
         stream = self.fs.create(draft, True)
         try:
             stream.write(bytearray(json.dumps(new).encode()))
         finally:
             stream.close()
-        current = self._path(f"{self.root}/_current")
-        if self.fs.exists(current):
-            self.fs.delete(current, False)
-        self.fs.rename(draft, current)
-        for name in changed:  # the version before the last stays for readers that have begun
-            stale = self._path(f"{self.root}/{name}/v{new[name] - 2}")
-            if self.fs.exists(stale):
-                self.fs.delete(stale, True)
+        if self.version() != base or self.fs.exists(pointer) or not self.fs.rename(draft, pointer):
+            self.fs.delete(draft, False)
+            raise Conflict(f"version {base} is no longer current")
+        self._forget(base + 1)
+        return base + 1
+
+    def _forget(self, current: int) -> None:
+        """Deletes pointers and folders that only versions older than the last KEEP have."""
+        numbers = self._pointers()
+        kept = [n for n in numbers if current - self.KEEP < n <= current]
+        used = {(t, f) for n in kept for t, f in self._folders(n).items()}
+        for n in numbers:
+            if n <= current - self.KEEP:
+                for table, folder in self._folders(n).items():
+                    if (table, folder) not in used:
+                        self.fs.delete(self._path(f"{self.root}/{table}/{folder}"), True)
+                self.fs.delete(self._path(f"{self.root}/_current-{n}"), False)

@@ -52,7 +52,7 @@ query(
 query("hot_boards", "select id, name from boards where is_hot")(lambda t, now: R.hot_boards(t))
 
 _CARD = f"""select a.id, a.board_id, b.name as board, a.url_id, {_TITLE} as title, a.author, a.posted_at, a.mark, a.push_count,
-    a.boo_count, a.net_count, coalesce(length(a.content), 0) as content_length, i.article_id is not null as has_insight, i.tldr,
+    a.boo_count, a.net_count, coalesce(length(a.content), 0) as content_length, i.article_id is not null as has_insight, i.tldr, i.community_take,
     i.sentiment, i.controversy,
     case when i.article_id is null then cast([] as varchar[]) when i.article_id % 8 = 0 then cast([] as varchar[])
          when i.article_id % 8 = 1 then ['a', 'b'] else ['c'] end as tags
@@ -68,24 +68,35 @@ query(
         from (select *, starts_with(title, '[公告]') as pinned from ({_CARD}) where board_id = 7 order by posted_at desc, id desc limit 30 offset 30)""",
 )(lambda t, now: R.board_page(t, 7, page=2).withColumn("tags", F.array_join("tags", "|")))
 
-query(
-    "article_detail",
-    """select a.id, a.content, count(p.seq) as n_pushes,
-        coalesce(string_agg(p.tag || p.user_id || ':' || p.content, '|' order by p.seq), '') as pushes
-        from articles a left join pushes p on p.article_id = a.id where a.deleted_at is null and a.id in (1, 2, 3, 4, 5, 6, 7, 32, 33)
-        group by 1, 2""",
-)(
-    lambda t, now: R.article_detail(t, [1, 2, 3, 4, 5, 6, 7, 32, 33]).select(
-        "id",
-        "content",
-        F.size("pushes").cast("long").alias("n_pushes"),
-        F.array_join(F.transform("pushes", lambda p: F.concat(p["tag"], p["user_id"], F.lit(":"), p["content"])), "|").alias("pushes"),
-    )
-)
-query("article_by_url", f"select id, board, url_id from ({_CARD}) where url_id like 'M.%.A.33' and board_id = (select board_id from articles where id = 33)")(
-    lambda t, now: R.cards(t).where(F.col("url_id").endswith(".A.33")).select("id", "board", "url_id")
+_DETAIL = f"""select c.* exclude (tags), array_to_string(c.tags, '|') as tags, a.content, a.ip, i.generated_at as insight_generated_at, i.key_points,
+    i.top_comments, i.model, i.article_type, i.ad_likelihood, i.factuality, i.ai_generated, i.push_facts, i.qa_summary,
+    case when i.article_id % 6 = 1 then 'N' || i.article_id || ':人物|M:其他' else '' end as entities,
+    case when i.article_id % 4 = 1 then cast(i.article_id % 9 as double) end as pro, case when i.article_id % 4 = 1 then 0.0 end as con,
+    (select coalesce(string_agg(concat(p.seq, p.tag, p.user_id, ':', p.content, p.ipdatetime), '|' order by p.seq), '') from pushes p where p.article_id = a.id) as pushes
+    from ({_CARD}) c join articles a on a.id = c.id left join article_insights i on i.article_id = c.id"""
+
+
+def _flat_detail(df: DataFrame) -> DataFrame:
+    said = F.transform("pushes", lambda p: F.concat(p["seq"].cast("string"), p["tag"], p["user_id"], F.lit(":"), p["content"], p["ipdatetime"]))
+    return df.select(
+        *(c for c in df.columns if c not in ("tags", "pushes", "entities", "push_stance")), F.array_join("tags", "|").alias("tags"),
+        F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), "|").alias("entities"),
+        F.col("push_stance.pro").alias("pro"), F.col("push_stance.con").alias("con"), F.array_join(said, "|").alias("pushes"),
+    )
+
+
+query("article_detail", f"{_DETAIL} where c.id in (1, 2, 3, 4, 5, 6, 7, 25, 32, 33, 37)")(
+    lambda t, now: _flat_detail(R.article_detail(t, [1, 2, 3, 4, 5, 6, 7, 25, 32, 33, 37]))
 )
 
+
+@query("article_by_url", f"{_DETAIL} where c.id = 37")
+def article_by_url(t, now):
+    """The address of an article is looked up first, as a reader would have it."""
+    row = R.cards(t).where("id = 37").select("board", "url_id").first()
+    return _flat_detail(R.article_by_url(t, row.board if row else "", row.url_id if row else ""))
+
+
 query(
     "author_articles",
     f"""select a.id, b.name as board, a.url_id, {_TITLE} as title, a.posted_at, a.net_count, i.tldr, i.sentiment
@@ -390,7 +401,7 @@ def replace_pushes(t, now):
 
     touched = t["pushes"].where("article_id % 7 = 0").select("article_id").distinct()
     fresh = touched.select("article_id", F.lit(0).cast("long").alias("seq"), F.lit("推").alias("tag"), F.lit("me").alias("user_id"), F.lit("again").alias("content"))
-    return S.replace_pushes(t["pushes"].drop("weight"), fresh, touched)
+    return S.replace_pushes(t["pushes"].drop("weight", "ipdatetime"), fresh, touched)
 
 
 @query(

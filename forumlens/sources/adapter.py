@@ -33,7 +33,7 @@ _VIEWS = {
                     l_quantity, l_extendedprice) - 1 as bigint) as seq,
                case l_returnflag when 'A' then '推' when 'R' then '噓' else '→' end as tag,
                cast(l_suppkey as varchar(20)) as user_id, 'line ' || cast(l_linenumber as varchar(9)) as content,
-               cast(l_quantity as bigint) as weight
+               cast(l_quantity as bigint) as weight, '07/' || cast(l_linenumber as varchar(9)) as ipdatetime
         from lineitem""",
     "push_sums": """
         select l_orderkey as article_id,
@@ -54,7 +54,7 @@ _VIEWS = {
                author,
                case when b.id % 7 = 0 then null when b.id % 9 = 0 then 'short'
                     else 'post ' || cast(b.id as varchar(20)) || ' about   ' || priority end as content,
-               case when b.id % 3 = 0 then 'M' end as mark,
+               case when b.id % 3 = 0 then 'M' end as mark, case when b.id % 4 <> 0 then '10.0.0.' || cast(b.id % 250 as varchar(9)) end as ip,
                coalesce(push_count, 0) as push_count, coalesce(boo_count, 0) as boo_count,
                coalesce(neutral_count, 0) as neutral_count,
                coalesce(push_count, 0) - coalesce(boo_count, 0) as net_count,
@@ -69,7 +69,17 @@ _VIEWS = {
                case when id % 11 = 0 then case when id % 2 = 0 then 'content_filter' else 'llm status 429' end end as error,
                cast(case when id % 5 = 0 then 1 else 2 end as bigint) as schema_ver,
                posted_at + (id % 48) * 3600 as generated_at,
-               cast(100 + id % 900 as bigint) as prompt_tokens, cast(10 + id % 90 as bigint) as completion_tokens
+               cast(100 + id % 900 as bigint) as prompt_tokens, cast(10 + id % 90 as bigint) as completion_tokens,
+               case when id % 5 <> 0 then 'take ' || cast(id as varchar(20)) end as community_take,
+               case when id % 5 <> 0 then '["point ' || cast(id as varchar(20)) || '"]' end as key_points,
+               case when id % 7 = 2 then '["best"]' end as top_comments, 'model-' || cast(id % 3 as varchar(9)) as model,
+               case when id % 4 = 0 then '閒聊' else '問題' end as article_type,
+               case id % 6 when 1 then '[' || chr(123) || '"name":"N' || cast(id as varchar(20)) || '","type":"人物"' || chr(125) || ',' || chr(123)
+                    || '"x":1' || chr(125) || ',' || chr(123) || '"name":"M"' || chr(125) || ']' when 5 then 'not json' end as entities,
+               case when id % 2 = 0 then '低' else '高' end as ad_likelihood, '觀點' as factuality,
+               case when id % 9 = 1 then '疑似AI' else '不確定' end as ai_generated,
+               case id % 4 when 1 then chr(123) || '"pro":' || cast(id % 9 as varchar(9)) || ',"con":"x"' || chr(125) when 3 then '[1]' end as push_stance,
+               case when id % 3 = 1 then 'fact ' || cast(id as varchar(20)) end as push_facts, 'answer ' || cast(id as varchar(20)) as qa_summary
         from articles where id % 3 <> 0""",
     "entity_refs": """
         select distinct lower(p_brand) as name_norm, p_brand as name, '產品' as kind, r.article_id
@@ -128,4 +138,4 @@ def _bind(sql: str, table: str) -> str:
 def oracle(sql: str, now: int = NOW) -> str:
     """A DuckDB query over the same views."""
     views = ",\n".join(f"{name} as ({_text(name, 'duckdb', now)})" for name in _VIEWS)
-    return f"with {views},\npushes as (select article_id, seq, tag, user_id, content, weight from push_rows)\n{sql}"
+    return f"with {views},\npushes as (select article_id, seq, tag, user_id, content, weight, ipdatetime from push_rows)\n{sql}"

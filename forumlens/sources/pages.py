@@ -7,6 +7,7 @@ model is passed in as a function.
 from __future__ import annotations
 
 import json
+import random
 import re
 import threading
 import time
@@ -135,7 +136,8 @@ class CombinedBucket:
 
 
 class TTLCache:
-    """A loaded value for ``ttl`` seconds; one loads at a time; a failed reload serves the old value."""
+    """A loaded value for ``ttl`` seconds; one loads at a time; a failed reload serves the old value, and the
+    next call tries again."""
 
     def __init__(self, load: Callable, ttl: float, clock: Callable[[], float] = time.monotonic):
         self.load, self.ttl, self.clock = load, ttl, clock
@@ -146,10 +148,10 @@ class TTLCache:
             if self.until is None or self.clock() >= self.until:
                 try:
                     self.value = self.load()
+                    self.until = self.clock() + self.ttl
                 except Exception:
                     if self.until is None:
                         raise
-                self.until = self.clock() + self.ttl
             return self.value
 
 
@@ -170,12 +172,18 @@ FILTER_MARKS = ('"code":"1301"', '"code": 1301', '"code":1301', "contentFilter")
 
 
 def complete(
-    post: Callable[[str], tuple[int, str, float | None]], prompt: str, retries: int = 2, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep
+    post: Callable[[str], tuple[int, str, float | None]],
+    prompt: str,
+    retries: int = 2,
+    wait: float = 15.0,
+    sleep: Callable[[float], None] = time.sleep,
+    jitter: Callable[[], float] = lambda: random.uniform(0.0, 2.0),
 ) -> tuple[str, int, int]:
     """(content, prompt tokens, completion tokens) of a chat answer.
 
     ``post`` gives (status, body, retry_after). 429, 5xx and network errors are retried after ``wait``
-    seconds, doubled each time, or as the answer asks; a content filter raises ContentFiltered.
+    seconds, doubled each time and spread by ``jitter`` seconds, or as long as the answer asks if that is
+    longer; a content filter raises ContentFiltered.
     """
     for attempt in range(retries + 1):
         after = None
@@ -197,7 +205,7 @@ def complete(
             if status != 429 and status < 500:
                 raise failure
         if attempt < retries:
-            sleep(after if after is not None else wait * 2**attempt)
+            sleep(max(after or 0.0, wait * 2**attempt + jitter()))
     raise failure
 
 
@@ -206,3 +214,14 @@ def snapshot(tables: dict[str, DataFrame], root: str, stamp: str) -> list[str]:
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{stamp}/{name}")
     return sorted(tables)
+
+
+def prune_snapshots(spark, root: str, before: str) -> list[str]:
+    """Deletes the snapshots with stamps below ``before`` (stamps sort by time); returns their names."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(top) if f.isDirectory()] if fs.exists(top) else []
+    old = [p for p in found if p.getName() < before]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)

@@ -15,21 +15,23 @@ from ..operators import ingest, state
 def apply_article_pages(store: state.Store, pages: DataFrame, now: int) -> None:
     """Upserts one batch of landed article pages and replaces their pushes, in one commit.
 
-    Pages that aren't articles and failed fetches are left out; applying a batch twice changes nothing
-    more.
+    Pages that aren't articles and failed fetches are left out; of several pages of one article the last
+    fetched counts, however its address is spelled. What only the index shows (nrec_raw, mark) stays.
+    Applying a batch twice changes nothing more.
     """
+    base = store.version()
     parts = X.article_url_parts(F.col("url"))
-    named = pages.where("status = 200").withColumn("name", parts["board"]).where("name is not null")
+    named = pages.where("status = 200").withColumns({"name": parts["board"], "_key": parts["url_id"]}).where("name is not null")
     boards = store.read("boards").select("name", F.col("id").alias("board_id"))
     rows = named.join(boards, "name").withColumn("nrec_raw", F.lit(None).cast("string")).withColumn("mark", F.lit(None).cast("string"))
-    parsed, _ = ingest.articles_of(state.last_of_key(rows, ["url"], "fetched_at"))
-    parsed = parsed.persist()
+    parsed, _ = ingest.articles_of(state.last_of_key(rows, ["board_id", "_key"], "fetched_at"))
+    parsed = parsed.drop("nrec_raw", "mark").persist()
     try:
-        articles = store.read("articles")
-        store.commit(articles=state.upsert_articles(articles, parsed.drop("pushes"), now))
-        ids = store.read("articles").select("board_id", "url_id", F.col("id").alias("article_id"))
+        # new ids follow from the keys, so both tables of the commit see the same ones
+        articles = state.upsert_articles(store.read("articles"), parsed.drop("pushes"), now)
+        ids = articles.select("board_id", "url_id", F.col("id").alias("article_id"))
         fresh = parsed.select("board_id", "url_id", "pushes").join(ids, ["board_id", "url_id"])
-        store.commit(pushes=state.replace_pushes(store.read("pushes"), ingest.pushes_of(fresh), fresh))
+        store.commit(base, articles=articles, pushes=state.replace_pushes(store.read("pushes"), ingest.pushes_of(fresh), fresh))
     finally:
         parsed.unpersist()
 

@@ -27,8 +27,8 @@ def test_retries():
 
 
 def test_completer_retries():
-    waits, answers = [], iter([(429, "", 3.0), (500, "", None), (200, '{"choices":[{"message":{"content":"hi"}}],"usage":{"prompt_tokens":4,"completion_tokens":2}}', None)])
-    assert P.complete(lambda _: next(answers), "p", sleep=waits.append) == ("hi", 4, 2) and waits == [3.0, 30.0]
+    waits, answers = [], iter([(429, "", 20.0), (500, "", None), (200, '{"choices":[{"message":{"content":"hi"}}],"usage":{"prompt_tokens":4,"completion_tokens":2}}', None)])
+    assert P.complete(lambda _: next(answers), "p", sleep=waits.append, jitter=lambda: 0.5) == ("hi", 4, 2) and waits == [20.0, 30.5]
     with pytest.raises(P.ContentFiltered):
         P.complete(lambda _: (400, '{"code":"1301"}', None), "p")
     with pytest.raises(ValueError):

@@ -224,3 +224,31 @@ def test_enrichment(spark, tmp_path):
 def test_missing_tables_are_made_once(spark, tmp_path):
     assert len(schemas.create_missing(spark, str(tmp_path))) == len(schemas.TABLES)
     assert schemas.create_missing(spark, str(tmp_path)) == []
+
+
+def test_a_commit_shows_all_or_nothing(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "s"))
+    meta = lambda v: spark.createDataFrame([("k", v)], "key string, value long")
+    assert store.versions() == {} and store.read("backfill_meta").count() == 0
+    assert store.commit(backfill_meta=meta(1)) == 1
+    base = store.version()
+    # a driver that is lost after writing tables or a draft leaves the version before in place
+    meta(9).write.parquet(str(tmp_path / "s" / "backfill_meta" / "v2-lost"))
+    (tmp_path / "s" / "_draft-lost").write_text("{")
+    assert listing(store.read("backfill_meta"), "value") == [(1,)]
+    assert store.commit(base, backfill_meta=meta(2)) == 2
+    with pytest.raises(S.Conflict):
+        store.commit(base, backfill_meta=meta(3))
+    assert listing(store.read("backfill_meta"), "value") == [(2,)]
+    store.commit(entity_aliases=spark.createDataFrame([("a", "b")], "alias string, canonical string"))
+    store.commit(backfill_meta=meta(5))
+    assert listing(store.read("backfill_meta"), "value") == [(5,)] and store.read("entity_aliases").count() == 1
+    assert len(store._pointers()) == S.Store.KEEP
+
+
+def test_hot_list(spark):
+    from test_html import BOARDS
+
+    boards = S.upsert_boards(rows(spark, "boards"), spark.createDataFrame([("Cat", "A > Cat", "x", 5)], "name string, category_path string, title string, user_count long"), 1)
+    out = ingest.apply_hot_list(boards, spark.createDataFrame([(BOARDS,)], "body string"), NOW)
+    assert listing(out, "name", "is_hot", "user_count", "category_path") == [("Cat", True, 0, "A > Cat"), ("Go", True, 731, None)]
