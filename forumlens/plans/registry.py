@@ -71,7 +71,7 @@ query(
 _DETAIL = f"""select c.* exclude (tags), array_to_string(c.tags, '|') as tags, a.content, a.ip, i.generated_at as insight_generated_at, i.key_points,
     i.top_comments, i.model, i.article_type, i.ad_likelihood, i.factuality, i.ai_generated, i.push_facts, i.qa_summary,
     case when i.article_id % 6 = 1 then 'N' || i.article_id || ':人物|M:其他' else '' end as entities,
-    case when i.article_id % 4 = 1 then cast(i.article_id % 9 as double) end as pro, case when i.article_id % 4 = 1 then 0.0 end as con,
+    case when i.article_id % 4 = 1 then cast(i.article_id % 9 as double) end as pro, case when i.article_id % 4 = 1 then cast(0 as double) end as con,
     (select coalesce(string_agg(concat(p.seq, p.tag, p.user_id, ':', p.content, p.ipdatetime), '|' order by p.seq), '') from pushes p where p.article_id = a.id) as pushes
     from ({_CARD}) c join articles a on a.id = c.id left join article_insights i on i.article_id = c.id"""
 

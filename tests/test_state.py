@@ -1,3 +1,4 @@
+import pytest
 from forumlens import schemas
 from forumlens.operators import enrich, ingest
 from forumlens.operators import state as S
