@@ -1,12 +1,15 @@
 """License scans with a positional index of rare words.
 
 The corpus tells how rare each licence word is (its inverse document frequency over all documents).
-The index keeps, for each template, the postings (template, position) of its ``rare`` highest-IDF
-words. A file's words are looked up there; each hit votes for the place where the template would
-start, and hits that agree within ``slack`` positions are added up by IDF. Where enough of a
-template's rare weight lies in order, its mandatory key phrases are looked for in the region; a
-template with all of them is found there. Phrases of ``STATEMENTS`` are found directly wherever their
-words stand consecutively.
+The index keeps the postings (template, position) of all licence words. Of a file's licence words the
+``rare`` highest-IDF ones that a template has are looked up; each hit votes for the place where the
+template would start, and hits that agree within ``slack`` positions are added up by IDF. Where enough
+weight (a share of that of the template's own ``rare`` rarest words) lies in order, the template's
+mandatory key phrases are looked for in the region; a template with all of them is found there.
+Phrases of ``STATEMENTS`` are looked up by their one rarest word, without slack: each hit gives the
+place where the phrase would start, and the whole phrase is verified there.
+
+The time is linear in the length of a text: its words are walked once, and regions are as long as templates.
 
 Edge cases: a null text counts as empty; texts without licence words have no label and score 0;
 repeated ids give a row each; other columns are ignored; an empty table gives an empty result.
@@ -124,7 +127,7 @@ def license_words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(templates=TEMPLATES) -> set[bytes]:
-    return {w for _, t, _ in templates for w in license_words(t)}
+    return {w for t in (*(t for _, t, _ in templates), *STATEMENTS) for w in license_words(t)}
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", words: set[bytes] | None = None) -> tuple[int, dict[bytes, int]]:
@@ -152,13 +155,19 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", words: set[byt
 
 @dataclass
 class Index:
-    """Postings of rare words, and what is needed to verify a template."""
+    """Postings of licence words, and what is needed to verify a template or statement.
+
+    ``ranked`` has each template's words with their postings, rarest first; ``statements`` by their rarest
+    word the place of that word, the phrase and its label.
+    """
 
     templates: tuple
+    rare: int
     slack: int
     min_weight: float
-    postings: dict = field(default_factory=dict)
     weight: dict = field(default_factory=dict)
+    ranked: list = field(default_factory=list)
+    statements: dict = field(default_factory=dict)
     total: list = field(default_factory=list)
     phrases: list = field(default_factory=list)
     size: list = field(default_factory=list)
@@ -167,45 +176,50 @@ class Index:
 def build_index(
     rows: int, frequency: dict[bytes, int], templates=TEMPLATES, rare: int = RARE, slack: int = SLACK, min_weight: float = MIN_WEIGHT
 ) -> Index:
-    index = Index(templates, slack, min_weight)
+    index = Index(templates, rare, slack, min_weight)
     idf = {w: float(np.log((rows + 1) / (frequency.get(w, 0) + 1)) + 1e-9) for w in vocabulary(templates)}
-    for t, (_, text, phrases) in enumerate(templates):
+    for _, text, phrases in templates:
         own = license_words(text)
-        best = sorted(set(own), key=lambda w: (-idf[w], w))[:rare]
-        for p, w in enumerate(own):
-            if w in best:
-                index.postings.setdefault(w, []).append((t, p))
-        index.total.append(sum(idf[w] for w in own if w in best))
+        ranked = sorted(set(own), key=lambda w: (-idf[w], w))
+        index.ranked.append([(w, [p for p, x in enumerate(own) if x == w]) for w in ranked])
+        index.total.append(sum(idf[w] * len(places) for w, places in index.ranked[-1][:rare]))
         index.phrases.append([b" " + b" ".join(license_words(p)) + b" " for p in phrases])
         index.size.append(len(own))
+    for phrase, label in STATEMENTS.items():
+        own = license_words(phrase)
+        rarest = min(own, key=lambda w: (-idf[w], w))
+        index.statements.setdefault(rarest, []).append((own.index(rarest), own, label))
     index.weight = idf
     return index
 
 
-def statements(own: list[bytes]) -> tuple[list[int], set[str]]:
+def statements(own: list[bytes], index: Index) -> tuple[list[int], set[str]]:
     """Word positions where a statement starts, and the labels of those found."""
-    joined = b" " + b" ".join(own) + b" "
     starts, labels = [], set()
-    for phrase, label in STATEMENTS.items():
-        needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
-        while at >= 0:
-            starts.append(joined.count(b" ", 0, at + 1) - 1)
-            labels.add(label)
-            at = joined.find(needle, at + 1)
+    if index.statements.keys() & set(own):
+        for q, w in enumerate(own):
+            for p, phrase, label in index.statements.get(w, ()):
+                if q >= p and own[q - p : q - p + len(phrase)] == phrase:
+                    starts.append(q - p)
+                    labels.add(label)
     return starts, labels
 
 
 def aligned_templates(own: list[bytes], index: Index) -> dict[str, float]:
     """Label -> the best share of rare weight in order, of the templates verified in the text."""
+    present = index.weight.keys() & set(own)
+    postings = defaultdict(list)
+    for t, ranked in enumerate(index.ranked):
+        best = [(w, places) for w, places in ranked if w in present][: index.rare]
+        if sum(index.weight[w] * len(places) for w, places in best) >= index.min_weight * index.total[t]:
+            for w, places in best:
+                postings[w] += [(t, p) for p in places]
     votes = defaultdict(list)
-    for q, w in enumerate(own):
-        for t, p in index.postings.get(w, ()):
+    for q, w in enumerate(own) if postings else ():
+        for t, p in postings.get(w, ()):
             votes[t].append((q - p, p, index.weight[w]))
     found: dict[str, float] = {}
     for t, hits in votes.items():
-        if sum({p: v for _, p, v in hits}.values()) < index.min_weight * index.total[t]:
-            continue
         hits.sort()
         low, inside, weight = 0, defaultdict(int), 0.0
         for high, (offset, p, v) in enumerate(hits):
@@ -229,7 +243,7 @@ def aligned_templates(own: list[bytes], index: Index) -> dict[str, float]:
 def scan_text(text: str | None, index: Index) -> tuple:
     """A row of SCHEMA."""
     own = license_words(text)
-    starts, base = statements(own)
+    starts, base = statements(own, index)
     found = aligned_templates(own, index)
     score = 1.0 if base else max(found.values(), default=0.0)
     ends = (min(starts), max(starts)) if starts else (None, None)

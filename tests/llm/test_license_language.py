@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 from forumlens.llm import language_id, license_scan, queries
@@ -40,6 +41,24 @@ def test_licence_templates():
     assert license_scan.scan_text(shuffled, index)[5:] == ("", 0.0)
 
 
+def test_licence_long_texts_are_linear():
+    index = license_scan.build_index(1000, {b"the": 900, b"license": 5})
+    start = time.monotonic()
+    row = license_scan.scan_text("under the MIT license the " * 100_000 + license_scan.TEMPLATES[3][1], index)
+    assert row[:4] == (500_000 + len(license_scan.license_words(license_scan.TEMPLATES[3][1])), 100_000, 0, 499_995)
+    assert row[5] == "bsd,mit" and time.monotonic() - start < 30
+
+
+def test_licence_rare_words_are_the_files_own():
+    index = license_scan.build_index(1000, {b"the": 900, b"of": 800, b"to": 700})
+    for t, (label, text, phrases) in enumerate(license_scan.TEMPLATES):
+        kept = " ".join(phrases).split()
+        gone = next((w for w, _ in index.ranked[t] if w.decode() not in kept), None)
+        if gone and index.size[t] > 12:  # one of the template's rarest words is not in the file
+            edited = " ".join("altered" if w == gone.decode() else w for w in text.split())
+            assert label in license_scan.scan_text(edited, index)[5].split(","), text
+
+
 def test_licence_statistics_cover_all_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, df = license_scan.document_frequencies(docs)
