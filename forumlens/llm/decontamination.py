@@ -5,16 +5,19 @@ own rolling hashes meet them in a bitmap and then a sorted array; matching seeds
 by token, joined to maximal matches along their diagonals, and tiled: the longest match whose tokens
 are all unmarked is marked first, and matches that overlap marked tokens are cut down, until none of
 ``min_match`` tokens is left. A document is contaminated if tiles cover at least ``coverage`` of an
-item's tokens, in any order, so reordered passages count.
+item's tokens, in any order, so reordered passages count. An item of fewer than ``min_match`` tokens is
+one seed: it is found where all of it stands.
 
-The index is broadcast in blocks of about ``block_tokens`` benchmark tokens, so its size is bounded
-whatever the size of the benchmark; several blocks take several passes.
+The seeds meet in a map-side join: the index is broadcast in blocks of about ``block_tokens`` benchmark
+tokens, so its size is bounded whatever the size of the benchmark; an item longer than that has a block
+of its own. Several blocks take several passes over the texts, each of which writes the matches it
+finds by text, not the texts.
 
 Tokens are words between ASCII white space, in lower case, without the signs around them; words of
 signs alone are passed over.
 
-Edge cases: null texts and items count as empty; items of fewer than ``min_match`` tokens match
-nothing; items with equal texts match alike; null item ids stay null in the matches; an empty
+Edge cases: null texts and items count as empty; items without tokens match nothing; items with equal
+texts match alike; null item ids stay null in the matches; an empty
 benchmark or table gives no match; all columns of the documents are passed on unchanged.
 """
 
@@ -29,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import CodeCache, chunks, words
-from .workspace import Workspace
+from .workspace import Workspace, row_key
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_TOKENS = 500_000
 BITMAP_BITS = 22
+PAIRS = 16  # of seeds, for each token and seed, from which diagonals are gone through as a whole
 
 MATCH = "array<struct<item_id: long, coverage: double, tiles: array<struct<item_start: long, doc_start: long, length: long>>>>"
 
@@ -63,22 +67,38 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def tile(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, doc start, length) from seeds: matches of ``size`` tokens.
+def seed_runs(p: np.ndarray, t: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(item start, doc start, length) of the maximal matches that seeds of ``size`` tokens make up."""
+    if not len(p):
+        return []
+    order = np.lexsort((p, t - p))
+    p, t = p[order], t[order]
+    first = np.flatnonzero(np.append(True, (np.diff(t - p) != 0) | (np.diff(p) > 1)))[: len(p)]
+    last = np.append(first[1:], len(p)) - 1
+    return list(zip(p[first].tolist(), t[first].tolist(), (p[last] - p[first] + size).tolist()))
+
+
+def diagonal_runs(item: np.ndarray, doc: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """The same from the tokens: a pass over the document for each token of the item, for items whose
+    seeds repeat so often that pairs of them would be many more than the matches."""
+    out, length = [], np.zeros(len(doc) + 1, np.int64)  # of the matches that end before a place
+    for i in range(len(item) + 1):
+        same = doc == item[i] if i < len(item) else np.zeros(len(doc), bool)
+        ends = np.flatnonzero((length >= size) & ~np.append(same, False))
+        out += [(i - n, j - n, n) for j, n in zip(ends.tolist(), length[ends].tolist())]
+        length[1:], length[0] = np.where(same, length[:-1] + 1, 0), 0
+    return out
+
+
+def tile(runs: list[tuple[int, int, int]], size: int, tokens: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item start, doc start, length) of an item of ``tokens`` tokens, from its maximal matches.
 
     Ties go to the earliest place in the item, then in the document.
     """
-    runs: list[tuple[int, int, int]] = []
-    for p, t in sorted(seeds, key=lambda s: (s[1] - s[0], s[0])):
-        if runs and runs[-1][1] - runs[-1][0] == t - p and p <= runs[-1][0] + runs[-1][2] - size + 1:
-            a, b, _ = runs[-1]
-            runs[-1] = (a, b, p - a + size)
-        else:
-            runs.append((p, t, size))
     heap = [(-n, p, t) for p, t, n in runs]
     heapq.heapify(heap)
     in_item, in_doc, tiles = set(), set(), []
-    while heap:
+    while heap and tokens - len(in_item) >= size:
         n, p, t = heapq.heappop(heap)
         n = -n
         free = [k for k in range(n) if p + k not in in_item and t + k not in in_doc]
@@ -96,25 +116,55 @@ def tile(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
     return sorted(tiles)
 
 
+class Seeds:
+    """The seeds of one size: their items and places by hash, and a bitmap of the hashes."""
+
+    def __init__(self, size: int, items: dict[int, np.ndarray]):
+        self.size = size
+        places: dict[int, dict[tuple, dict[int, list[int]]]] = defaultdict(dict)
+        for item, own in items.items():
+            for p, h in enumerate(rolling(own, size).tolist()):
+                places[h].setdefault(tuple(own[p : p + size].tolist()), {}).setdefault(item, []).append(p)
+        self.places = {
+            h: [(np.array(seed), [(item, np.array(p)) for item, p in found.items()]) for seed, found in by_seed.items()]
+            for h, by_seed in places.items()
+        }
+        self.hashes = np.array(sorted(places), np.uint64)
+        self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
+        self.bitmap[(self.hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+
+    def meet(self, ids: np.ndarray, row: np.ndarray, met: dict) -> None:
+        """Adds (place in ids, places in the item) to ``met`` by row and item."""
+        h = rolling(ids, self.size)
+        hit = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+        if not len(hit) or not len(self.hashes):
+            return
+        at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+        hit = hit[self.hashes[at] == h[hit]]
+        hit = hit[row[hit] == row[hit + self.size - 1]]
+        for t in hit.tolist():
+            for seed, found in self.places[int(h[t])]:
+                if np.array_equal(seed, ids[t : t + self.size]):
+                    for item, p in found:
+                        met[int(row[t])][item].append((t, p))
+
+
 class Index:
-    """Items as arrays of token numbers, with the places of their seeds by hash."""
+    """Items as arrays of token numbers, with their seeds."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], min_match: int):
-        self.min_match = min_match
         self.vocabulary: dict[str, int] = {"": _NO_TOKEN}
         self.ids, self.items = [], []
-        places = defaultdict(list)
+        by_size: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for number, text in items:
             tokens = [b for b in map(bare, words(text)) if b]
             own = np.array([self.vocabulary.setdefault(b, len(self.vocabulary) + 1) for b in tokens], np.int64)
-            for p, h in enumerate(rolling(own, min_match).tolist()):
-                places[h].append((len(self.items), p))
+            if len(own):
+                by_size[min(min_match, len(own))][len(self.items)] = own
             self.ids.append(number)
             self.items.append(own)
-        self.places = dict(places)
-        self.hashes = np.array(sorted(places), np.uint64)
-        self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
-        self.bitmap[(self.hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+        self.min_match = min_match
+        self.seeds = [Seeds(size, own) for size, own in sorted(by_size.items())]
         self.cache: CodeCache | None = None
 
     def __getstate__(self):
@@ -123,6 +173,22 @@ class Index:
     def _number(self, word: bytes) -> int:
         return self.vocabulary.get(bare(word), _UNKNOWN)
 
+    def _tiles(self, item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, np.ndarray]], coverage: float) -> list[tuple[int, int, int]]:
+        """Tiles of an item that meets a document, or none if its seeds can't cover enough of it."""
+        size = min(self.min_match, len(item))
+        covered = np.zeros(len(item) + 1, np.int64)
+        for p in {id(p): p for _, p in seeds}.values():  # one array for all places of a seed
+            covered[p] += 1
+            covered[p + size] -= 1
+        if (np.cumsum(covered)[:-1] > 0).sum() < coverage * len(item):
+            return []
+        if sum(len(p) for _, p in seeds) <= PAIRS * (len(item) + len(seeds)):
+            t = np.repeat(np.array([t for t, _ in seeds]), [len(p) for _, p in seeds])
+            runs = seed_runs(np.concatenate([p for _, p in seeds]), t, size)
+        else:
+            runs = diagonal_runs(item, doc, size)
+        return tile(runs, size, len(item))
+
     def match(self, texts: list, coverage: float) -> list[list[dict]]:
         if self.cache is None:
             self.cache = CodeCache(self._number)
@@ -135,32 +201,18 @@ class Index:
             place = np.concatenate([np.arange(len(s)) for s in split]) if split else np.empty(0, np.int64)
             token = ids != _NO_TOKEN
             ids, row, place = ids[token], row[token], place[token]
-            h = rolling(ids, self.min_match)
-            hit = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
-            if len(hit) and len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-                hit = hit[self.hashes[at] == h[hit]]
-            else:
-                hit = hit[:0]
-            hit = hit[row[hit] == row[hit + self.min_match - 1]]
-            by_doc = defaultdict(lambda: defaultdict(list))
-            first = np.searchsorted(row, np.arange(len(part)))
-            for t in hit.tolist():
-                seed = ids[t : t + self.min_match]
-                for item, p in self.places[int(h[t])]:
-                    if np.array_equal(self.items[item][p : p + self.min_match], seed):
-                        by_doc[int(row[t])][item].append((p, t - int(first[row[t]])))
+            met = defaultdict(lambda: defaultdict(list))
+            for seeds in self.seeds:
+                seeds.meet(ids, row, met)
+            first = np.searchsorted(row, np.arange(len(part) + 1))
             for i in range(len(part)):
                 found = []
-                own = place[first[i] :]
-                for item, seeds in sorted(by_doc[i].items()) if i in by_doc else ():
-                    n = len(self.items[item])
-                    if len({p + k for p, _ in seeds for k in range(self.min_match)}) < coverage * n:
-                        continue  # no tiling can cover more than all matches together
-                    tiles = tile(seeds, self.min_match)
-                    share = sum(x[2] for x in tiles) / n
-                    if share >= coverage:
-                        spans = [{"item_start": p, "doc_start": int(own[t]), "length": k} for p, t, k in tiles]
+                a, b = int(first[i]), int(first[i + 1])
+                for item, seeds in sorted(met[i].items()) if i in met else ():
+                    tiles = self._tiles(self.items[item], ids[a:b], [(t - a, p) for t, p in seeds], coverage)
+                    share = sum(x[2] for x in tiles) / len(self.items[item])
+                    if tiles and share >= coverage:
+                        spans = [{"item_start": p, "doc_start": int(place[a + t]), "length": k} for p, t, k in tiles]
                         found.append({"item_id": self.ids[item], "coverage": share, "tiles": spans})
                 out.append(found)
         return out
@@ -195,15 +247,21 @@ def with_matches(
     # no more tokens than half of the bytes, rounded up
     total = items.agg(F.coalesce(F.sum((F.octet_length("text") + 1) / 2), F.lit(0.0))).first()[0]
     blocks = max(1, -(-int(total) // block_tokens))
-    work = Workspace(spark)
-    out = docs.withColumn(out_col, F.array().cast(MATCH))
+    def index_of(b: int) -> Index:
+        rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
+        return Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), min_match)
+
+    text = F.col(f"`{text_col}`").cast("string")
+    if blocks == 1:
+        return docs.withColumn(out_col, _matches(spark, text, index_of(0), coverage))
+    work, found = Workspace(spark), None
+    own = docs.select(row_key(text).alias("key"), text.alias("text"))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        index = Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), min_match)
-        found = _matches(spark, F.col(text_col), index, coverage)
-        out = out.withColumn(out_col, found if b == 0 else F.concat(F.col(out_col), found))
-        if b + 1 < blocks:
-            out = work.table(out, f"block-{b}")
-            if b:
-                work.drop(f"block-{b - 1}")
-    return out
+        hits = own.select("key", _matches(spark, F.col("text"), index_of(b), coverage).alias("m")).where(F.size("m") > 0)
+        hits = work.table(hits.dropDuplicates(["key"]), f"block-{b}")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
+    joined = docs.select(whole, row_key(text).alias("key")).join(found, "key", "left")
+    kept = (F.col(f"doc.`{c}`") for c in docs.columns if c != out_col)
+    return joined.select(*kept, F.coalesce("m", F.array().cast(MATCH)).alias(out_col))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from forumlens.llm import decontamination as dc
 
@@ -53,3 +54,36 @@ def test_reordered_and_edges(spark):
         assert sorted((t.item_start, t.doc_start, t.length) for t in one.tiles) == [(0, 59, 20), (20, 30, 20)]
     assert not any(r.found for r in dc.with_matches(docs, items.limit(0), "found").collect())
     assert dc.with_matches(docs.limit(0), items, "found").count() == 0
+
+
+def test_short_items_and_repeated_seeds():
+    index = dc.Index([(1, "yes it is"), (2, "..."), (3, "a b c d e f")], 5)
+    found = index.match(["so yes, it is so", "yes it was", "yes it", "a b c d e", ""], 0.5)
+    assert [[m["item_id"] for m in f] for f in found] == [[1], [], [], [3], []]
+    rng = random.Random(4)
+    for _ in range(200):
+        item, doc = ([rng.choice("ab") for _ in range(rng.randrange(1, n))] for n in (14, 40))
+        size = min(3, len(item))
+        seeds = [(p, t) for p in range(len(item) - size + 1) for t in range(len(doc) - size + 1) if item[p : p + size] == doc[t : t + size]]
+        a, b = (dc.np.array([ord(c) for c in x]) for x in (item, doc))
+        p, t = (dc.np.array([s[k] for s in seeds], int) for k in (0, 1))
+        assert sorted(dc.seed_runs(p, t, size)) == sorted(dc.diagonal_runs(a, b, size))
+        got = dc.Index([(1, " ".join(item))], 3).match([" ".join(doc)], 0.0)[0]
+        assert (got[0]["coverage"] if got else 0.0) == greedy(item, doc, size) / len(item)
+
+
+def test_equal_tokens_take_no_pairs():
+    index = dc.Index([(1, "z " * 200)], 5)
+    start = time.monotonic()
+    assert index.match(["z " * 200_000], 0.5)[0][0]["coverage"] == 1.0
+    assert time.monotonic() - start < 20
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    rows = [(i, t, i) for i, t in enumerate(["a b c d e f g", "a b c d e f g", None, "", "h i j k l m a b c d e f"])]
+    docs = spark.createDataFrame(rows, "key long, text string, doc long")
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "h i j k l m"), (3, "g"), (None, "l m")], "item_id long, text string")
+    plain = lambda df: sorted((r.key, r.text or "", r.doc, sorted((m.item_id or 0, m.coverage) for m in r.m)) for r in df.collect())
+    one, many = (dc.with_matches(docs, items, "m", block_tokens=n) for n in (500_000, 3))
+    assert one.columns == many.columns and plain(one) == plain(many)
+    assert [[i for i, _ in r[3]] for r in plain(one)] == [[1, 3], [1, 3], [], [], [0, 1, 2]]
