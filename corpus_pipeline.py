@@ -37,8 +37,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    near = near_dedup.NearCopies(docs).classes()
-    out = line_dedup.remove_repeated_lines(docs, short_lines=True, near=near)
+    out = line_dedup.remove_repeated_lines(docs, short_lines=True, near_copies=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -18,6 +18,12 @@ finer key that still has more lines is split into pairs of bounded shards. A pai
 keys is counted under the smallest one, so links are exact; only the edges of a spanning forest leave
 a task.
 
+With ``near_copies`` a document keeps the lines that first stand in a near copy of it, so that near-dedup
+after this finds near copies whole instead of fragments. A document is compared with the documents in
+which its lines first stand, each once, by 256-bit SimHash fingerprints of five-word shingles: near are
+those within ``NEAR_BITS`` (of texts under 24 shingles ``SMALL_NEAR_BITS``), 4 standard deviations above
+what is expected of a similarity of 0.8.
+
 Lines are known by 64-bit hashes of their text; a row by the 128 bits of its id and text's MD5.
 
 Edge cases: null texts have no lines; blank lines are never linked or removed, nor short ones without ``short_lines``;
@@ -36,12 +42,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .near_dedup import SHINGLE, SMALL_SET, WORDS, wide_fingerprint
 from .shards import shard_groups, spread_join
+from .simhash import shingle_hashes
 from .workspace import Workspace, row_key
 
 THRESHOLD = 3
 MIN_CHARS = 16
 SHARD_ROWS = 512
+NEAR_BITS = 64
+SMALL_NEAR_BITS = 76
 CLASSES = 8  # of characters, in the sketch that goes with a key
 BUCKET_KEYS = 500_000
 TEXT_LEFT = r"(?U)[^\s\x1c-\x1f]"  # what str.strip leaves
@@ -204,25 +214,32 @@ def document_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     return [(i, s) for i, s in enumerate(stripped) if len(s) >= min_chars]
 
 
-def _scan(rows: DataFrame, least: int) -> DataFrame:
-    """One row for each document: places and hashes of its lines of at least ``least`` characters, and
-    whether the line stands further up in the document, too."""
+def _near_print(text: str | None) -> list[int]:
+    """The words of a text's wide fingerprint and the bits within which others are near."""
+    distinct = np.unique(shingle_hashes(text, SHINGLE))
+    return [*wide_fingerprint(distinct).view(np.int64).tolist(), NEAR_BITS if len(distinct) >= SMALL_SET else SMALL_NEAR_BITS]
+
+
+def _scan(rows: DataFrame, least: int, near_copies: bool) -> DataFrame:
+    """One row for each document: places and hashes of its lines of at least ``least`` characters, whether
+    the line stands further up in the document, too, and with ``near_copies`` its wide fingerprint."""
 
     def run(batches):
         for batch in batches:
-            pos, line, again = [], [], []
+            pos, line, again, fp = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own, seen = document_lines(text, least), set()
                 pos.append([i for i, _ in own])
                 again.append([s in seen or seen.add(s) is not None for _, s in own])
                 line.append([_hash(s) for _, s in own])
+                fp.append(_near_print(text) if near_copies else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(pos, pa.list_(pa.int32())), pa.array(line, pa.list_(pa.int64())),
-                 pa.array(again, pa.list_(pa.bool_()))],
-                ["id", "_row", "pos", "line", "again"],
+                 pa.array(again, pa.list_(pa.bool_())), pa.array(fp, pa.list_(pa.int64()))],
+                ["id", "_row", "pos", "line", "again", "fp"],
             )
 
-    return rows.mapInArrow(run, "id long, _row binary, pos array<int>, line array<long>, again array<boolean>")
+    return rows.mapInArrow(run, "id long, _row binary, pos array<int>, line array<long>, again array<boolean>, fp array<long>")
 
 
 def _signatures(rows: DataFrame, threshold: int, min_chars: int, buckets: int) -> DataFrame:
@@ -477,16 +494,17 @@ class LineClasses:
 
     ``lines``: (line, n, class_id, links, first_doc, first_pos) of each different line; ``n`` is how often
     it stands, ``first_doc`` and ``first_pos`` where a line of its class first stands. ``scanned``: (doc,
-    id, _row, copies, pos, line, again) of every different row; ``doc`` numbers rise with the ids.
+    id, _row, copies, pos, line, again, fp) of every different row; ``doc`` numbers rise with the ids.
     """
 
-    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, min_chars=MIN_CHARS, shard_rows=SHARD_ROWS, short_lines=False):
+    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, min_chars=MIN_CHARS, shard_rows=SHARD_ROWS, short_lines=False, near_copies=False):
         if threshold < 0 or min_chars <= 2 * threshold:
             raise ValueError("0 <= threshold and 2 * threshold < min_chars are needed")
-        work = Workspace(docs.sparkSession)
+        work = self.work = Workspace(docs.sparkSession)
+        self.near_copies = near_copies
         id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
         texts = docs.select(id_.alias("id"), row_key(id_, text).alias("_row"), text.alias("text"))
-        raw = work.table(_scan(texts, 1 if short_lines else min_chars), "raw")
+        raw = work.table(_scan(texts, 1 if short_lines else min_chars, near_copies), "raw")
         ordered = raw.orderBy(F.col("id").asc_nulls_last(), "_row").withColumn("doc", F.monotonically_increasing_id())
         ordered = work.table(ordered, "ordered")
         repeated = ordered.groupBy("_row").agg(F.count("*").alias("copies"), F.min("doc").alias("low")).where("copies > 1")
@@ -543,23 +561,33 @@ class LineClasses:
         is_first = (F.col("first_doc") == F.col("doc")) & (F.col("first_pos") == F.col("pos"))
         return joined.select("doc", "pos", "class_id", "links", (~is_first).alias("repeated"))
 
-    def repeated(self, near: DataFrame | None = None) -> DataFrame:
+    def repeated(self) -> DataFrame:
         """(doc, pos) of the lines to remove: those that repeat an earlier line's class.
 
-        With ``near`` (_row, near), the near copies of a row, a line that first stands in a near copy of
-        its document is no repeat, unless it repeats a line of its own document.
+        With ``near_copies`` a line that first stands in a near copy of its document is no repeat, unless
+        it repeats a line of its own document.
         """
         lines = self.lines.where("n > 1 or links > 0")
-        places = self.places().drop("again")
-        if near is None:
-            joined = spread_join(places, lines, "line", "n", self.total)
+        joined = spread_join(self.places().drop("again"), lines, "line", "n", self.total)
+        if not self.near_copies:
             return joined.where("first_doc <> doc or first_pos <> pos").select("doc", "pos")
-        own = self.scanned.select("doc", "_row").join(near, "_row").select("doc", "near")
-        lines = lines.join(own.toDF("first_doc", "first_near"), "first_doc", "left")
-        joined = spread_join(places, lines, "line", "n", self.total).join(own, "doc", "left").repartition("doc")
         turn = F.row_number().over(Window.partitionBy("doc", "class_id").orderBy("pos"))
-        joined = joined.withColumn("again", turn > 1)
-        return joined.where("again or (first_doc <> doc and not coalesce(first_near = near, false))").select("doc", "pos")
+        joined = joined.repartition("doc").withColumn("again", turn > 1).where("again or first_doc <> doc")
+        joined = self.work.table(joined.select("doc", "pos", "first_doc", "again"), "repeats")
+        near = self._near_pairs(joined.where("not again").select("doc", "first_doc").distinct())
+        joined = joined.join(near.withColumn("near", F.lit(True)), ["doc", "first_doc"], "left")
+        return joined.where("again or near is null").select("doc", "pos")
+
+    def _near_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (doc, first_doc) whose fingerprints are near."""
+        fps = self.scanned.select("doc", "fp")
+        pairs = self.work.table(pairs.join(fps, "doc"), "pairs")
+        firsts = pairs.groupBy("first_doc").agg(F.count("*").alias("n"))
+        firsts = self.work.table(firsts.join(fps.toDF("first_doc", "first_fp"), "first_doc"), "pair-firsts")
+        met = spread_join(pairs, firsts, "first_doc", "n", pairs.count())
+        word = lambda k: F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("first_fp")[k]))
+        apart = sum((word(k) for k in range(1, WORDS)), word(0))
+        return met.where(apart <= F.greatest(F.col("fp")[WORDS], F.col("first_fp")[WORDS])).select("doc", "first_doc")
 
     def by_document(self) -> DataFrame:
         """(id, n_lines, n_repeated, n_linked, classes, links), arrays in the order of the text."""
@@ -578,14 +606,14 @@ class LineClasses:
         )
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None, **settings) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents without the lines that repeat an earlier line's class.
 
     Documents without such lines stay as they are; documents of which only blank lines would be left go.
-    Near copies (``near``, see LineClasses.repeated) keep what they have in common.
+    With ``near_copies`` near copies keep what they have in common (see LineClasses.repeated).
     """
     classes = LineClasses(docs, id_col, text_col, **settings)
-    drops = classes.repeated(near).groupBy("doc").agg(F.collect_set("pos").alias("_drops"))
+    drops = classes.repeated().groupBy("doc").agg(F.collect_set("pos").alias("_drops"))
     drops = drops.join(classes.scanned.select("doc", "_row"), "doc").select("_row", "_drops")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name clashes
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")

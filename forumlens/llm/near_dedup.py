@@ -266,10 +266,10 @@ def _components(rows: DataFrame, values: DataFrame, samples: DataFrame, shard_ro
 
 
 class NearCopies:
-    """The near copies of a table: one of its answers, ``classes`` or ``stays``, may be asked for.
+    """The near copies of a table.
 
-    ``rows`` has (id, _row, content, ...) of every row, ``firsts`` (content, first, n) the first row and the
-    number of rows of each content, ``nodes`` (content, root) the contents that have near copies.
+    ``firsts`` has (content, first), the first row of each content, ``nodes`` (content, root) the contents
+    that have near copies.
     """
 
     def __init__(
@@ -305,8 +305,8 @@ class NearCopies:
 
         rows = work.table(texts.mapInArrow(sketch, "id long, _row binary, content long, value array<long>, keys array<long>"), "rows")
         place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
-        firsts = rows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        self.rows, self.firsts = rows, work.table(firsts, "firsts")
+        firsts = rows.groupBy("content").agg(F.min(place).alias("first"))
+        self.firsts = work.table(firsts, "firsts")
         one = rows.join(self.firsts.select("first._row", "content"), ["_row", "content"]).dropDuplicates(["content"])
         one = work.table(one.select("content", "value", "keys"), "contents")
 
@@ -336,13 +336,6 @@ class NearCopies:
         self.nodes = exact.select(F.col("node").alias("content"), "root")
         work.drop("contents", "loose-nodes", "loose-nodes-2", "sets")
 
-    def classes(self) -> DataFrame:
-        """(_row, near): the class of each different row that has a near copy or an exact one."""
-        several = self.firsts.join(self.nodes, "content", "left").where("root is not null or n > 1")
-        several = several.select("content", "n", F.coalesce("root", "content").alias("near"))
-        found = spread_join(self.rows.select("_row", "content"), several, "content", "n", self.rows.count())
-        return self.work.only(found.select("_row", "near").distinct(), "classes")
-
     def stays(self) -> DataFrame:
         """(_row): of each class the row with the smallest id."""
         best = self.firsts.join(self.nodes, "content", "left").groupBy(F.coalesce("root", "content").alias("class"))
