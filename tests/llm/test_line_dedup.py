@@ -143,3 +143,20 @@ def test_names_and_nulls_do_not_clash(spark):
     got = {tuple(r) for r in ld.remove_repeated_lines(df, short_lines=True).collect()}
     assert got == {rows[0], rows[1], rows[2]}
     assert [len(r.classes) for r in ld.LineClasses(df).by_document().where("id = 7").collect()] == [1, 1]
+
+
+def test_near_copies_keep_what_they_share(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(f"word{rng.randrange(500)}" for _ in range(12))
+    body, passage = [line() for _ in range(20)], line()
+    near = body[:19] + [line()]
+    other = [line() for _ in range(9)] + [passage, body[3]]
+    rows = [(1, "\n".join(body)), (2, "\n".join(near)), (3, "\n".join(other)), (4, "\n".join([*near, passage])), (5, passage), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in ld.remove_repeated_lines(docs, short_lines=True, near_copies=True).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1]
+    assert got[3] == "\n".join(other[:10])
+    assert got[4] == "\n".join(near)
+    assert 5 not in got
+    plain = {r.doc_id: r.text for r in ld.remove_repeated_lines(docs, short_lines=True).collect()}
+    assert plain[2] == near[19] and 4 not in plain
