@@ -69,7 +69,9 @@ class Workspace:
         out = self.table(df, name)
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        self.drop(*(f for f in (x.getPath().getName() for x in system.listStatus(root)) if f != name))
+        others = [f for f in (x.getPath().getName() for x in system.listStatus(root)) if f != name]
+        if others:
+            self.drop(*others)
         return out
 
     def drop(self, *names: str) -> None:
