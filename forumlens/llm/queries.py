@@ -15,7 +15,9 @@ from . import (
     quality_classifier,
     sentencepiece_codec,
     simhash,
+    spelling,
     toxicity,
+    vector_codes,
 )
 
 
@@ -119,6 +121,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, its code, its error, the error of its label, and a digest of the codebooks."""
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the damaged texts with its form, its root and its near words."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
@@ -130,5 +142,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {}
