@@ -16,6 +16,7 @@ from . import (
     sentencepiece_codec,
     simhash,
     spelling,
+    substring_dedup,
     toxicity,
     vector_codes,
 )
@@ -126,6 +127,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its words, how many of them repeat smaller documents, and a digest of the others."""
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of the damaged texts with its form, its root and its near words."""
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
@@ -143,6 +149,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {}
