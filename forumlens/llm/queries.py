@@ -11,6 +11,7 @@ from . import (
     language_id,
     license_scan,
     line_dedup,
+    oracles,
     pii,
     quality_classifier,
     sentencepiece_codec,
@@ -152,4 +153,4 @@ QUERIES = {
     "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
