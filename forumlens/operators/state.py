@@ -1,21 +1,18 @@
-"""State transitions: pure functions from a table and changes to the table's next snapshot.
+"""State transitions: pure functions from a table and changes to the table's next rows.
 
-Parquet has no update in place, so every write makes a whole new snapshot, which a ``Store`` commits by
-writing a new version and then switching to it. A row of the changes wins over the table's row; of
+They take a whole table as well as the rows of some of a ``Store``'s buckets, as long as these hold the
+rows of all keys that change. A row of the changes wins over the table's row; of
 several changes to one key the last by the order given wins; without an order one of them does, chosen
 by a hash of its values.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schemas import TABLES
+from .store import Change, Conflict, Store  # noqa: F401  (part of this module's interface)
 
 
 def last_of_key(changes: DataFrame, key: tuple[str, ...] | list[str], order: str | None = None) -> DataFrame:
@@ -42,28 +39,31 @@ def merge(table: DataFrame, changes: DataFrame, key: tuple[str, ...], rules: dic
 ID_BUCKETS = 1024
 
 
-def with_new_ids(table: DataFrame, key: str) -> DataFrame:
-    """Gives rows without an id one beyond the largest, each id once.
+def with_ids(changes: DataFrame, table: DataFrame, key: tuple[str, ...], by: str, top: int | None = None) -> DataFrame:
+    """Distinct changes with the id of the table's row that they match; new ones get ids beyond the largest,
+    each once. ``top`` is the largest id where ``table`` isn't the whole one.
 
-    Rows are numbered within hash buckets of the key, and buckets follow each other, so numbering runs
-    in as many tasks as there are buckets; only the bucket sizes, ID_BUCKETS rows at most, are summed
+    New rows are numbered within hash buckets of the column ``by``, and buckets follow each other, so numbering
+    runs in as many tasks as there are buckets; only the bucket sizes, ID_BUCKETS rows at most, are summed
     up in one place.
     """
-    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = table.where("id is null").withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)))
+    matched = changes.join(table.select(*key, "id"), list(key), "left").select(*changes.columns, "id")
+    above = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")) if top is None else None
+    fresh = matched.where("id is null").withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(ID_BUCKETS)))
     sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-    numbered = numbered.join(F.broadcast(offsets), "_bucket").join(F.broadcast(top))
-    numbered = numbered.withColumn("id", F.col("_top") + F.col("_offset") + F.col("_n"))
-    return table.where("id is not null").unionByName(numbered.select(table.columns))
+    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(by, *key)))
+    numbered = numbered.join(F.broadcast(offsets), "_bucket")
+    numbered = numbered.withColumn("_top", F.lit(top)) if above is None else numbered.join(F.broadcast(above))
+    numbered = numbered.withColumn("id", (F.col("_top") + F.col("_offset") + F.col("_n")).cast("long"))
+    return matched.where("id is not null").unionByName(numbered.select(matched.columns))
 
 
 # boards
 
 
-def upsert_boards(boards: DataFrame, found: DataFrame, now: int) -> DataFrame:
+def upsert_boards(boards: DataFrame, found: DataFrame, now: int, top: int | None = None) -> DataFrame:
     """Overwrites path, title and user count (also with null); the crawl state stays. New ones are due now."""
     fresh = {
         "next_check_at": F.lit(now), "last_backfill_page": F.lit(1), "backfill_complete": F.lit(False), "check_interval_secs": F.lit(600),
@@ -75,7 +75,7 @@ def upsert_boards(boards: DataFrame, found: DataFrame, now: int) -> DataFrame:
         *(v.alias(k) for k, v in fresh.items()),
     )
     rules = {c: F.col(f"n.{c}") for c in ("category_path", "title", "user_count", "updated_at")}
-    return with_new_ids(merge(boards, changes, ("name",), rules), "name")
+    return merge(boards, with_ids(last_of_key(changes, ["name"]), boards, ("name",), "name", top), ("name",), rules)
 
 
 def set_boards(boards: DataFrame, when: Column, now: int, **values) -> DataFrame:
@@ -141,12 +141,13 @@ def advance_window(boards: DataFrame, meta: DataFrame, step: int) -> DataFrame:
 _KEPT = ("id", "board_id", "url_id", "first_seen_at", "posted_at", "url_timestamp", "mark")
 
 
-def upsert_articles(articles: DataFrame, parsed: DataFrame, now: int) -> DataFrame:
+def upsert_articles(articles: DataFrame, parsed: DataFrame, now: int, top: int | None = None) -> DataFrame:
     """Overwrites what a page shows and clears the deletion; first seen, posted and mark stay."""
-    changes = parsed.withColumn("first_seen_at", F.lit(now)).withColumn("last_fetched_at", F.lit(now))
+    key = ("board_id", "url_id")
+    changes = last_of_key(parsed.drop("id"), key).withColumn("first_seen_at", F.lit(now)).withColumn("last_fetched_at", F.lit(now))
     rules = {c: F.col(f"n.{c}") for c in articles.columns if c not in _KEPT and c in changes.columns}
     rules["deleted_at"] = F.lit(None)
-    return with_new_ids(merge(articles, changes, ("board_id", "url_id"), rules), "url_id")
+    return merge(articles, with_ids(changes, articles, key, "url_id", top), key, rules)
 
 
 def update_from_index(articles: DataFrame, entries: DataFrame) -> DataFrame:
@@ -231,88 +232,3 @@ def finish_run(runs: DataFrame, run_id: int, status: str, now: int, **counters)
     values = {"status": F.lit(status), "finished_at": F.lit(now), **{k: F.lit(v) for k, v in counters.items()}}
     own = F.col("id") == run_id
     return runs.withColumns({c: F.when(own, v.cast(runs.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
-
-
-class Conflict(RuntimeError):
-    """Another commit came first."""
-
-
-class Store:
-    """Versioned snapshots of the tables under a root; the pointer file with the highest number is current.
-
-    ``commit`` writes all given tables to folders of their own and then adds the next pointer with one
-    rename, so readers see all of a change or none of it, and a driver lost at any moment leaves the
-    version before in place. A commit whose base is no longer current raises Conflict. (That rests on a
-    rename that doesn't replace a file, as HDFS has it.)
-    """
-
-    KEEP = 2  # versions, for readers that have begun
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _pointers(self) -> list[int]:
-        root = self._path(self.root)
-        if not self.fs.exists(root):
-            return []
-        names = [f.getPath().getName() for f in self.fs.listStatus(root)]
-        return sorted(int(n.removeprefix("_current-")) for n in names if n.startswith("_current-"))
-
-    def _folders(self, number: int) -> dict[str, str]:
-        stream = self.fs.open(self._path(f"{self.root}/_current-{number}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def version(self) -> int:
-        return max(self._pointers(), default=0)
-
-    def versions(self) -> dict[str, str]:
-        """The folder of each table that has been written."""
-        current = self.version()
-        return self._folders(current) if current else {}
-
-    def read(self, name: str) -> DataFrame:
-        folder = self.versions().get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], TABLES[name].schema)
-        return self.spark.read.schema(TABLES[name].schema).parquet(f"{self.root}/{name}/{folder}")
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.read(name) for name in TABLES}
-
-    def commit(self, base: int | None = None, **changed: DataFrame) -> int:
-        """Writes the tables on top of version ``base`` (the current one) and returns the new version."""
-        base = self.version() if base is None else base
-        new = self._folders(base) if base else {}
-        token = uuid.uuid4().hex[:12]
-        for name, df in changed.items():
-            new[name] = f"v{base + 1}-{token}"
-            df.select(TABLES[name].schema.names).write.parquet(f"{self.root}/{name}/{new[name]}")
-        draft, pointer = self._path(f"{self.root}/_draft-{token}"), self._path(f"{self.root}/_current-{base + 1}")
-        stream = self.fs.create(draft, True)
-        try:
-            stream.write(bytearray(json.dumps(new).encode()))
-        finally:
-            stream.close()
-        if self.version() != base or self.fs.exists(pointer) or not self.fs.rename(draft, pointer):
-            self.fs.delete(draft, False)
-            raise Conflict(f"version {base} is no longer current")
-        self._forget(base + 1)
-        return base + 1
-
-    def _forget(self, current: int) -> None:
-        """Deletes pointers and folders that only versions older than the last KEEP have."""
-        numbers = self._pointers()
-        kept = [n for n in numbers if current - self.KEEP < n <= current]
-        used = {(t, f) for n in kept for t, f in self._folders(n).items()}
-        for n in numbers:
-            if n <= current - self.KEEP:
-                for table, folder in self._folders(n).items():
-                    if (table, folder) not in used:
-                        self.fs.delete(self._path(f"{self.root}/{table}/{folder}"), True)
-                self.fs.delete(self._path(f"{self.root}/_current-{n}"), False)

@@ -19,21 +19,21 @@ def apply_article_pages(store: state.Store, pages: DataFrame, now: int) -> None:
     fetched counts, however its address is spelled. What only the index shows (nrec_raw, mark) stays.
     Applying a batch twice changes nothing more.
     """
-    base = store.version()
     parts = X.article_url_parts(F.col("url"))
     named = pages.where("status = 200").withColumns({"name": parts["board"], "_key": parts["url_id"]}).where("name is not null")
-    boards = store.read("boards").select("name", F.col("id").alias("board_id"))
-    rows = named.join(boards, "name").withColumn("nrec_raw", F.lit(None).cast("string")).withColumn("mark", F.lit(None).cast("string"))
-    parsed, _ = ingest.articles_of(state.last_of_key(rows, ["board_id", "_key"], "fetched_at"))
-    parsed = parsed.drop("nrec_raw", "mark").persist()
-    try:
-        # new ids follow from the keys, so both tables of the commit see the same ones
-        articles = state.upsert_articles(store.read("articles"), parsed.drop("pushes"), now)
+
+    def apply(change: state.Change) -> None:
+        boards = change.read("boards").select("name", F.col("id").alias("board_id"))
+        rows = named.join(boards, "name").withColumn("nrec_raw", F.lit(None).cast("string")).withColumn("mark", F.lit(None).cast("string"))
+        parsed, _ = ingest.articles_of(state.last_of_key(rows, ["board_id", "_key"], "fetched_at"))
+        parsed = change.scratch(parsed.drop("nrec_raw", "mark"))  # pages are parsed once
+        fields = parsed.drop("pushes")
+        articles = change.update("articles", fields, lambda old: state.upsert_articles(old, fields, now, change.top("articles")))
         ids = articles.select("board_id", "url_id", F.col("id").alias("article_id"))
-        fresh = parsed.select("board_id", "url_id", "pushes").join(ids, ["board_id", "url_id"])
-        store.commit(base, articles=articles, pushes=state.replace_pushes(store.read("pushes"), ingest.pushes_of(fresh), fresh))
-    finally:
-        parsed.unpersist()
+        fresh = change.scratch(parsed.select("board_id", "url_id", "pushes").join(ids, ["board_id", "url_id"]))
+        change.update("pushes", fresh, lambda old: state.replace_pushes(old, ingest.pushes_of(fresh), fresh))
+
+    store.retry(apply)
 
 
 def ingest_pages(pages: DataFrame, store: state.Store, checkpoint: str, clock: Callable[[], int]):
