@@ -26,19 +26,20 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import CodeCache, chunks, word_codes, words
+from .tokens import CHUNK_BYTES, CodeCache, word_codes, words
 from .workspace import Workspace
 
 SIZE, ANCHOR = 13, 4
 HOT_ROWS = 4096
+MAX_WORDS = 100_000
 #: anchors are counted by their last bits, 2 ** 20 counts in all
 COUNT_BITS = 20
 COUNTED_OF = 16
@@ -83,27 +84,42 @@ def window_hashes(codes: np.ndarray, at: np.ndarray, size: int, anchor: int) ->
     return place, anchors[place], (_rolled(codes, size)[place] >> np.uint64(32)).astype(np.uint32)
 
 
+class _Codes(CodeCache):
+    """Word hashes; forgets them sooner than the other operators, which hold less beside them."""
+
+    def __missing__(self, word):
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        return super().__missing__(word)
+
+
 def _cache() -> CodeCache:
-    return CodeCache(xxhash.xxh64_intdigest)
+    return _Codes(xxhash.xxh64_intdigest)
+
+
+def _slices(batches, column: int, size: int = CHUNK_BYTES):
+    """The batches in pieces of about ``size`` bytes of text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()) // size
+        starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(starts[:-1], starts[1:]))
 
 
 def _grouped(batches, size: int, anchor: int):
     """For texts (id, row hash, text): for each chunk its ids, row hashes, and a row for each anchor run."""
     cache = _cache()
-    for batch in batches:
-        ids, rows, texts = (batch.column(k) for k in range(3))
-        ids, rows, first = ids.to_numpy(), rows.to_numpy(), 0
-        for part in chunks(texts.to_pylist()):
-            codes, at = word_codes(part, cache)
-            place, anchors, hashes = window_hashes(codes, at, size, anchor)
-            own = slice(first, first + len(part))
-            first += len(part)
-            if not len(place):
-                continue
-            begins = np.searchsorted(at, np.arange(len(part)))
-            text = at[place]
-            new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])])
-            yield ids[own][text[new]], rows[own][text[new]], (place[new] - begins[text[new]]), anchors[new], np.r_[new, len(place)], hashes
+    for batch in _slices(batches, 2):
+        ids, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        codes, at = word_codes(texts, cache)
+        place, anchors, hashes = window_hashes(codes, at, size, anchor)
+        if not len(place):
+            continue
+        begins = np.searchsorted(at, np.arange(len(texts)))
+        text = at[place]
+        new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])])
+        yield ids[text[new]], rows[text[new]], (place[new] - begins[text[new]]), anchors[new], np.r_[new, len(place)], hashes
 
 
 class Split:
@@ -297,26 +313,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         cache = _cache()
-        for batch in batches:
-            found = [
-                (i, *s) for i, t, p in zip(*(c.to_pylist() for c in batch.columns)) if p for s in spans_of(t, p, size, anchor, cache)
-            ]
+        for batch in _slices(batches, 1):
+            found = [(i, *s) for i, t, p in zip(*(c.to_pylist() for c in batch.columns)) for s in spans_of(t, p, size, anchor, cache)]
             names = ["id", "start", "end", "source", "source_start"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*found)) or [()] * 5)], names)
 
     return rows.where("pieces is not null").mapInArrow(run, "id long, start long, end long, source long, source_start long")
 
 
-def without_spans(text: str | None, spans: list[tuple]) -> tuple[int, list[bytes]]:
-    """(words of the text, those outside the spans)."""
-    every = words(text)
-    if not spans:
-        return len(every), every
-    change = [0] * (len(every) + 1)
-    for s in spans:
-        change[s[0]] += 1
-        change[s[1]] -= 1
-    return len(every), [w for w, c in zip(every, accumulate(change)) if not c]
+def kept_words(texts: list[str | None], pieces: pa.ListArray, size: int, anchor: int, cache: CodeCache) -> list[tuple[int, bytes]]:
+    """(number of words, the words outside the pieces) of each text, many texts at a time."""
+    each = [words(t) for t in texts]
+    every = [w for own in each for w in own]
+    ends = np.cumsum([len(own) for own in each])
+    change = np.zeros(len(every) + 1, np.int64)
+    sizes = np.diff(pieces.offsets.to_numpy())
+    if sizes.any():
+        codes = np.fromiter(map(cache.__getitem__, every), np.uint64, len(every))
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        start, n, check = (pieces.flatten().field(k).to_numpy() for k in ("start", "n", "check"))
+        first = start + ends[doc] - np.fromiter(map(len, each), np.int64, len(each))[doc]
+        last = first + n - 1 + size
+        fits = last <= ends[doc]  # else it is a piece of another row with this id
+        if fits.any():
+            first, last, check = first[fits], last[fits], check[fits]
+            own = (_rolled(codes, size)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32) == check
+            np.add.at(change, first[own], 1)
+            np.add.at(change, last[own], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    out = []
+    for own, end in zip(each, ends):
+        lost = gone[end - len(own) : end]
+        out.append((len(own), b" ".join([w for w, x in zip(own, lost.tolist()) if not x] if lost.any() else own)))
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, anchor: int = ANCHOR, **settings) -> DataFrame:
@@ -326,13 +355,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         cache = _cache()
-        for batch in batches:
-            texts, pieces = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            found = [without_spans(t, spans_of(t, p, size, anchor, cache) if p else []) for t, p in zip(texts, pieces)]
-            kept = [b" ".join(k) for _, k in found]
+        for batch in _slices(batches, 1):
+            found = kept_words(batch.column(1).to_pylist(), batch.column(2), size, anchor, cache)
             columns = [
-                batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(k) for n, k in found], pa.int64()),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept], pa.string()),
+                batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n - (k.count(b" ") + 1 if k else 0) for n, k in found], pa.int64()),
+                pa.array([hashlib.sha256(k).hexdigest() for _, k in found], pa.string()), pa.array([k.decode() for _, k in found], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
