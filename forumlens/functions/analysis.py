@@ -23,11 +23,11 @@ CONTROVERSY = ((("高", "高"), ("中", "中")), "低")
 AI_GENERATED = ((("疑似", "疑似AI"), ("人寫", "人寫")), "不確定")
 
 
-def prompt(title: Column, author: Column, content: Column, pushes: Column) -> Column:
-    """The analyser's prompt; pushes are an ordered array of (seq, tag, user_id, content)."""
+def prompt(title: Column, author: Column, content: Column, pushes: Column, total: Column | None = None) -> Column:
+    """The analyser's prompt; pushes are an ordered array of (seq, tag, user_id, content), ``total`` of them in all."""
     body = F.coalesce(content, F.lit(""))
     body = F.when(F.length(body) > MAX_CONTENT, F.concat(F.left(body, F.lit(MAX_CONTENT)), F.lit("\n...(內容過長已截斷)"))).otherwise(body)
-    n = F.coalesce(F.size(pushes), F.lit(0))
+    n = F.coalesce(F.size(pushes) if total is None else total, F.lit(0))
     note = F.when(n > MAX_PUSHES, f"，僅顯示前 {MAX_PUSHES} 則").otherwise("")
     lines = F.transform(
         F.slice(pushes, 1, MAX_PUSHES), lambda p: F.concat(F.coalesce(p["tag"], F.lit("")), F.lit(" "), F.coalesce(p["user_id"], F.lit("")), F.lit(": "), F.coalesce(p["content"], F.lit("")))
@@ -43,15 +43,6 @@ def prompt(title: Column, author: Column, content: Column, pushes: Column) -> Co
     )
 
 
-def first_contained(c: Column, options, fallback: str) -> Column:
-    """The first option that the text contains, as a Column; pairs give (sign, label)."""
-    out = None
-    for o in options:
-        sign, label = o if isinstance(o, tuple) else (o, o)
-        out = F.when(c.contains(sign), label) if out is None else out.when(c.contains(sign), label)
-    return out.otherwise(fallback)
-
-
 def _contained(value, options, fallback: str) -> str:
     text = value if isinstance(value, str) else ""
     for o in options:

@@ -55,14 +55,6 @@ def local_day(epoch: Column) -> Column:
     return F.date_format(local_time(epoch), "yyyy-MM-dd")
 
 
-def greatest_or_null(*columns: Column) -> Column:
-    """The largest, or null if any is null."""
-    known = F.lit(True)
-    for c in columns:
-        known = known & c.isNotNull()
-    return F.when(known, F.greatest(*columns))
-
-
 def sentiment_sign(c: Column) -> Column:
     return F.when(c == "正面", 1).when(c == "負面", -1).otherwise(0)
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import analysis as A
 from ..sources.pages import ContentFiltered
+from .pool import bounded
 
 Completer = Callable[[str], tuple[str, int, int]]
 
@@ -40,34 +41,33 @@ def stub_completer(prompt: str) -> tuple[str, int, int]:
 
 
 def with_prompts(queue: DataFrame) -> DataFrame:
-    return queue.select(
-        F.col("id").alias("article_id"), A.prompt(F.col("title"), F.col("author"), F.col("content"), F.col("pushes")).alias("prompt")
-    )
+    """(article_id, prompt); ``n_pushes``, if there, is how many pushes an article has where ``pushes`` has the first only."""
+    total = F.col("n_pushes") if "n_pushes" in queue.columns else None
+    text = A.prompt(F.col("title"), F.col("author"), F.col("content"), F.col("pushes"), total)
+    return queue.select(F.col("id").alias("article_id"), text.alias("prompt"))
 
 
-def analyze(prompts: DataFrame, completer: Completer = stub_completer, model: str = "stub", attempts: int = 2) -> DataFrame:
+def _answer(completer: Completer, prompt: str, attempts: int) -> dict:
+    for attempt in range(attempts):
+        try:
+            content, asked, said = completer(prompt)
+            return A.parse_analysis(content) | {"error": None, "prompt_tokens": asked, "completion_tokens": said}
+        except ContentFiltered:
+            return {"error": "content_filter"}
+        except ValueError as e:
+            failure = f"parse llm output: {e}"
+    return {"error": failure}
+
+
+def analyze(prompts: DataFrame, completer: Completer = stub_completer, model: str = "stub", attempts: int = 2, concurrency: int = 1) -> DataFrame:
     """(article_id, prompt) -> ANSWERS. An answer that can't be read is asked for once more; then, or
-    for a declined prompt or a failed call, the row has its error."""
+    for a declined prompt or a call that fails in whatever way, the row has its error. At most ``concurrency`` calls
+    run at once in a task; how many tasks run is the caller's partitioning."""
 
     def run(batches):
         for frame in batches:
-            rows = []
-            for article_id, prompt in zip(frame["article_id"], frame["prompt"]):
-                row = {"article_id": article_id, "model": model}
-                for attempt in range(attempts):
-                    try:
-                        content, asked, said = completer(prompt)
-                        row |= A.parse_analysis(content) | {"error": None, "prompt_tokens": asked, "completion_tokens": said}
-                        break
-                    except ContentFiltered:
-                        row["error"] = "content_filter"
-                        break
-                    except ValueError as e:
-                        row["error"] = f"parse llm output: {e}"
-                    except OSError as e:
-                        row["error"] = str(e)
-                        break
-                rows.append(row)
+            found = bounded(lambda prompt: _answer(completer, prompt, attempts), frame["prompt"], concurrency)
+            rows = [{"article_id": i, "model": model, **(row if error is None else {"error": str(error) or type(error).__name__})} for i, (row, error) in zip(frame["article_id"], found)]
             out = pd.DataFrame(rows, columns=ANSWERS.names, dtype=object)
             out["article_id"] = out["article_id"].astype("int64")
             yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
@@ -80,17 +80,16 @@ def answers_and_errors(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, written.where("error is not null").select("article_id", "error")
 
 
-def digests(prompts: DataFrame, day: str, now: int, completer: Completer = stub_completer, model: str = "stub") -> DataFrame:
-    """Digest rows from (board_id, article_count, prompt); blank answers give none."""
+def digests(prompts: DataFrame, day: str, now: int, completer: Completer = stub_completer, model: str = "stub", concurrency: int = 1) -> DataFrame:
+    """Digest rows from (board_id, article_count, prompt); blank answers and failed calls give none."""
     schema = "board_id long, article_count long, digest string, prompt_tokens long, completion_tokens long"
 
     def run(batches):
         for frame in batches:
             rows = []
-            for board_id, n, prompt in zip(frame["board_id"], frame["article_count"], frame["prompt"]):
-                content, asked, said = completer(prompt)
-                if content.strip():
-                    rows.append((board_id, n, content.strip(), asked, said))
+            for board_id, n, (answer, error) in zip(frame["board_id"], frame["article_count"], bounded(completer, frame["prompt"], concurrency)):
+                if error is None and answer[0].strip():
+                    rows.append((board_id, n, answer[0].strip(), *answer[1:]))
             out = pd.DataFrame(rows, columns=["board_id", "article_count", "digest", "prompt_tokens", "completion_tokens"], dtype=object)
             yield out.astype({c: "int64" for c in out.columns if c != "digest"})
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import analysis as A
 from ..functions import text as X
 
 Tables = dict[str, DataFrame]
@@ -79,6 +80,15 @@ def ordered_pushes(pushes: DataFrame, *more: str) -> DataFrame:
     return pushes.groupBy("article_id").agg(F.array_sort(F.collect_list(rows)).alias("pushes"))
 
 
+def first_pushes(pushes: DataFrame, limit: int = A.MAX_PUSHES) -> DataFrame:
+    """(article_id, pushes, n_pushes): the first pushes of each article in order, and how many it has; no more than
+    ``limit`` are gathered into a row."""
+    by_place = Window.partitionBy("article_id").orderBy("seq")
+    first = pushes.withColumn("_n", F.row_number().over(by_place)).where(F.col("_n") <= limit)
+    counts = pushes.groupBy("article_id").agg(F.count("*").alias("n_pushes"))
+    return ordered_pushes(first).join(counts, "article_id")
+
+
 _INSIGHT = ("key_points", "top_comments", "model", "article_type", "ad_likelihood", "factuality", "ai_generated", "push_facts", "qa_summary")
 
 
@@ -103,10 +113,15 @@ def article_detail(t: Tables, article_ids: list[int]) -> DataFrame:
     return _detail(t, own, lambda df, key: df.where(F.col(key).isin(article_ids)))
 
 
+def article_id(t: Tables, board: str, url_id: str) -> DataFrame:
+    """The id of a live article's address; one row or none."""
+    return live(t).where(F.col("url_id") == url_id).join(_boards(t).where(F.col("board") == board), "board_id").select("id")
+
+
 def article_by_url(t: Tables, board: str, url_id: str) -> DataFrame:
     """The same for an article's address; (board, url_id) is a key, so its id can be broadcast."""
     own = cards(t).where((F.col("board") == board) & (F.col("url_id") == url_id))
-    ids = live(t).where(F.col("url_id") == url_id).join(_boards(t).where(F.col("board") == board), "board_id").select("id")
+    ids = article_id(t, board, url_id)
     return _detail(t, own, lambda df, key: df.join(F.broadcast(ids.withColumnRenamed("id", key)), key, "left_semi"))
 
 

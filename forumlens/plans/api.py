@@ -7,12 +7,15 @@ caller; ``display`` columns come from ``functions.text``.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import reads as R
+from ..sources.pages import TTLCache
 
 PAGE_SIZE = 30
 
@@ -52,31 +55,39 @@ def _board(t: R.Tables, name: str, page: int | None = None, slug: str | None = N
     return {"board": board, "articles": R.board_page(t, row.board_id, page, PAGE_SIZE)}
 
 
-def _article(t: R.Tables, found: DataFrame) -> dict[str, DataFrame] | None:
-    row = found.first()
+def _article(t: R.Tables, ids: DataFrame) -> dict[str, DataFrame] | None:
+    row = ids.first()
     return {"article": R.article_detail(t, [row.id])} if row else None
 
 
-def answer(t: R.Tables, url: str, now: int, deleted_token: str | None = None) -> dict[str, DataFrame] | None:
+def _live_boards(spark, hot: TTLCache) -> DataFrame:
+    """The cached hot list as rows; ``place`` is the list's order."""
+    rows = [(place, *(b[c] for c in ("name", "class", "title", "n_user", "n_user_class"))) for place, b in enumerate(hot.get())]
+    return spark.createDataFrame(rows, "place int, name string, class string, title string, n_user int, n_user_class string")
+
+
+def answer(t: R.Tables, url: str, now: int, deleted_token: str | None = None, hot: TTLCache | None = None) -> dict[str, DataFrame] | None:
+    """``hot`` is the cached live list of boards (``pages.hot_list_cache``); without it the front page has the stored ones."""
     parts = urlsplit(url)
     path, asked = unquote(parts.path), {k: v[0] for k, v in parse_qs(parts.query).items()}
     if path in ("/", "/bbs/hotboards.html"):
-        return {"boards": R.hot_boards(t)}
+        return {"boards": _live_boards(t["boards"].sparkSession, hot) if hot else R.hot_boards(t)}
     if m := re.fullmatch(r"/bbs/([^/]+)/(index\d*\.html)", path):
         return _board(t, m[1], slug=m[2])
     if m := re.fullmatch(r"/b/([^/]+)", path):
         return _board(t, m[1], page=page_parameter(asked.get("page")))
     if m := re.fullmatch(r"/bbs/([^/]+)/(M\.\d+\.A\.[^.]+)\.html", path):
-        return _article(t, R.article_by_url(t, m[1], m[2]))
+        return _article(t, R.article_id(t, m[1], m[2]))
     if m := re.fullmatch(r"/a/(\d{1,18})", path):
-        return _article(t, R.cards(t).where(f"id = {m[1]}"))
+        return _article(t, R.live(t).where(f"id = {m[1]}").select("id"))
     if path == "/boards":
         return {"boards": R.boards_count(t, 1), "nav": R.boards_count(t, 5)}
     if path == "/search":
         return {"entities": R.search_entities(t, asked.get("q", ""), 30)}
     if m := re.fullmatch(r"/e/(.+)", path):
         parts_ = {"entity": R.search_entities(t, m[1], 1), "timeline": R.entity_timeline(t, m[1], 60), "articles": R.entity_articles(t, m[1], 50)}
-        return parts_ if any(not df.isEmpty() for df in parts_.values()) else None
+        some = reduce(DataFrame.unionByName, (df.limit(1).select(F.lit(1).alias("one")) for df in parts_.values()))
+        return parts_ if not some.isEmpty() else None
     if path == "/trends":
         return {"entities": R.trending(t, now, 30)}
     if path == "/rising":

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as X
 from ..operators import ingest, state
@@ -58,35 +57,3 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     """Each event once within the watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-
-
-class NetCrossing(StatefulProcessor):
-    """Emits an article when its summed weight first reaches the threshold.
-
-    For ``groupBy("article_id").transformWithState``-style use with rows (article_id, weight).
-    """
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "total long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        before = self.total.get()[0] if self.total.exists() else 0
-        after = before + sum(int(frame["weight"].sum()) for frame in rows)
-        self.total.update((after,))
-        crossed = before < self.threshold <= after
-        yield pd.DataFrame({"article_id": [key[0]], "net": [after]} if crossed else {"article_id": [], "net": []})
-
-    def close(self) -> None:
-        pass
-
-
-def net_crossings(pushes: DataFrame, threshold: int = 20) -> DataFrame:
-    """Stream of (article_id, weight) -> (article_id, net) once an article reaches the threshold."""
-    return pushes.groupBy("article_id").transformWithStateInPandas(
-        NetCrossing(threshold), outputStructType="article_id long, net long", outputMode="append", timeMode="None"
-    )
