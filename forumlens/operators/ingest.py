@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as X
+from ..sources.folders import exists, shared_folder
 from . import state as S
 
 VANISH_GUARD = 100
@@ -169,38 +170,80 @@ def backfill_step(entries: DataFrame, window_bottom: int, first: int, last: int)
     )
 
 
-def discover(pages: Callable[[list[str]], DataFrame], start: str = "/cls/1") -> DataFrame | None:
+LEVEL = "href string, name string, title string, user_count long, is_board boolean, path string"
+
+
+def discover(pages: Callable[[list[str]], DataFrame], start: str = "/cls/1", folder: str | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Boards below a category, level by level, each page once: (name, title, user_count, category_path).
 
-    ``pages`` gives (url, body) for paths, and is read once for each level. The frontier of a level is the
-    driver's work list, a path for each category; a category already seen is not entered again, so the walk
-    ends whatever its depth. A board of several categories has the first path in order.
+    ``pages`` gives (url, body) for paths. Each level is written below ``folder`` (a new one unless given) once it has
+    been read, so a walk that is started again on its folder asks for no page of a level that is complete. The
+    frontier of a level is the driver's work list, a path for each category; a category already seen is not entered
+    again, so the walk ends whatever its depth. A board of several categories has the first path in order.
+
+    With ``hot``, the page (body) of the hot list, there is is_hot as well: listed boards have the list's title and user
+    count, and those of no category come too.
     """
-    seen, level, found = {start}, {start: ""}, None
+    spark = SparkSession.active()
+    folder = folder or shared_folder(spark, "discovery")
+    seen, level, number = {start}, {start: ""}, 0
     while level:
-        parents = [(u, p) for u, p in level.items()]
-        fetched = pages(list(level))
-        above = fetched.sparkSession.createDataFrame(parents, "url string, parent string")
-        rows = fetched.join(F.broadcast(above), "url").select("parent", F.explode(H.parse_category(F.col("body"))).alias("e"))
-        path = F.when(F.col("parent") == "", F.col("e.name")).otherwise(F.concat("parent", F.lit(" > "), "e.name"))
-        rows = rows.select("e.*", path.alias("path")).persist()
-        boards = rows.where("is_board").select(
-            "name", X.empty_to_null(F.col("title")).alias("title"),
-            F.when(F.col("user_count") > 0, F.col("user_count").cast("long")).alias("user_count"), X.empty_to_null(F.col("path")).alias("category_path"),
-        )
-        found = boards if found is None else found.unionByName(boards)
-        level = {}
-        for r in rows.where("not is_board").select("href", "path").orderBy("path").collect():
-            if r.href not in seen:
-                seen.add(r.href)
-                level[r.href] = r.path
-    first = F.min(F.struct(F.coalesce("category_path", F.lit("")).alias("p"), "title", "user_count", "category_path")).alias("f")
-    return found.groupBy("name").agg(first).select("name", "f.title", "f.user_count", "f.category_path")
+        place = f"{folder}/level-{number}"
+        if not exists(spark, f"{place}/_SUCCESS"):
+            above = spark.createDataFrame(list(level.items()), "url string, parent string")
+            rows = pages(list(level)).join(F.broadcast(above), "url").select("parent", F.explode(H.parse_category(F.col("body"))).alias("e"))
+            path = F.when(F.col("parent") == "", F.col("e.name")).otherwise(F.concat("parent", F.lit(" > "), "e.name"))
+            users = F.when(F.col("e.user_count") > 0, F.col("e.user_count").cast("long"))
+            rows.select(
+                "e.href", "e.name", X.empty_to_null(F.col("e.title")).alias("title"), users.alias("user_count"), "e.is_board", path.alias("path")
+            ).write.mode("overwrite").parquet(place)
+        below = spark.read.schema(LEVEL).parquet(place).where("not is_board").groupBy("href").agg(F.min("path").alias("path"))
+        level = {r.href: r.path for r in below.collect() if r.href not in seen}
+        seen |= set(level)
+        number += 1
+    found = spark.read.schema(LEVEL).parquet(*(f"{folder}/level-{k}" for k in range(number))).where("is_board")
+    first = F.min(F.struct(F.coalesce("path", F.lit("")).alias("p"), "title", "user_count")).alias("f")
+    boards = found.groupBy("name").agg(first).select("name", "f.title", "f.user_count", X.empty_to_null(F.col("f.p")).alias("category_path"))
+    return boards if hot is None else with_hot_flags(boards, hot)
+
+
+def hot_listed(pages: DataFrame) -> DataFrame:
+    """The boards of hot list pages (body): (name, title, user_count), each name once; a page without boards fails."""
+    boards = F.coalesce(H.parse_hot_boards(F.col("body")), F.raise_error(F.lit("no boards on the page of the hot list")))
+    rows = pages.select(F.explode(boards).alias("e")).select("e.name", "e.title", F.col("e.n_user").cast("long").alias("user_count"))
+    return S.last_of_key(rows, ["name"])
+
+
+def with_hot_flags(boards: DataFrame, hot: DataFrame) -> DataFrame:
+    listed = hot_listed(hot).select("name", X.empty_to_null(F.col("title")).alias("_title"), F.when(F.col("user_count") > 0, F.col("user_count")).alias("_users"), F.lit(True).alias("_hot"))
+    rows = boards.join(listed, "name", "full")
+    return rows.select(
+        "name", F.when(F.col("_hot"), F.col("_title")).otherwise(F.col("title")).alias("title"), F.when(F.col("_hot"), F.col("_users")).otherwise(F.col("user_count")).alias("user_count"),
+        "category_path", F.coalesce("_hot", F.lit(False)).alias("is_hot"),
+    )
+
+
+def discover_into(store: S.Store, pages: Callable[[list[str]], DataFrame], hot: DataFrame, now: int, folder: str | None = None) -> int:
+    """The whole discovery, stored: all boards of the walk and of the hot list, hot ones marked, none unmarked.
+    Returns how many boards it saw; running it again changes what the pages have changed."""
+    with store.scratch() as keep:
+        found = keep(discover(pages, folder=folder, hot=hot))
+
+        def apply(change: S.Change) -> None:
+            def made(old: DataFrame) -> DataFrame:
+                out = S.upsert_boards(old, found, now, change.top("boards"))
+                hit = found.where("is_hot").select("name", F.lit(True).alias("_hit"))
+                return out.join(hit, "name", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)) | F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+            change.update("boards", found, made)
+
+        store.retry(apply)
+        return found.count()
 
 
 def apply_hot_list(boards: DataFrame, pages: DataFrame, now: int) -> DataFrame:
     """Boards after a page (body) of the hot list: its boards are upserted and marked hot, none is unmarked."""
-    listed = pages.select(F.explode(H.parse_hot_boards(F.col("body"))).alias("e")).select("e.name", "e.title", F.col("e.n_user").cast("long").alias("user_count"))
+    listed = hot_listed(pages)
     known = boards.select("name", "category_path")  # the list shows no category
     out = S.upsert_boards(boards, listed.join(known, "name", "left"), now)
     hit = listed.select("name").distinct().withColumn("_hit", F.lit(True))

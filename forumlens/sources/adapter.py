@@ -94,7 +94,7 @@ _VIEWS = {
         from boards b join (values ('2001-08-01', 2), ('2001-08-02', 3)) d(day, every) on b.id % d.every = 0""",
 }
 
-_INPUTS = ("nation", "lineitem", "orders", "customer", "part", "documents", "conversations", "events", "pages")
+_INPUTS = ("region", "nation", "supplier", "lineitem", "orders", "customer", "part", "documents", "conversations", "events", "pages")
 
 
 def _text(name: str, engine: str, now: int) -> str:

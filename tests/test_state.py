@@ -167,6 +167,41 @@ def test_discovery(spark):
     assert listing(ingest.discover(pages), "name", "user_count", "category_path") == [("X", 3, "X"), ("Y", None, "A > Y")]
 
 
+def test_discovery_goes_on_and_is_stored_with_hot_flags(spark, tmp_path):
+    from test_html import BOARDS
+
+    link = '<div class="b-ent"><a class="board" href="{}"><div class="board-name">{}</div><div class="board-nuser">{}</div></a></div>'
+    site = {
+        "/cls/1": link.format("/cls/2", "A", 0) + link.format("/cls/3", "B", 0),
+        "/cls/2": link.format("/bbs/X/index.html", "X", 3) + link.format("/cls/4", "deep", 0) + link.format("/bbs/Go/index.html", "Go", 1),
+        "/cls/3": link.format("/bbs/X/index.html", "X", 4) + link.format("/cls/4", "deep", 0),
+        "/cls/4": link.format("/bbs/Z/index.html", "Z", 9),
+    }
+    asked = []
+
+    def pages(urls, lost=()):
+        asked.extend(urls)
+        if set(urls) & set(lost):
+            raise OSError("the driver is lost")
+        return spark.createDataFrame([(u, site[u]) for u in urls if u in site], "url string, body string")
+
+    hot = spark.createDataFrame([(BOARDS,)], "body string")
+    folder = str(tmp_path / "walk")
+    with pytest.raises(OSError):
+        ingest.discover(lambda urls: pages(urls, ["/cls/4"]), folder=folder)
+    asked.clear()
+    found = ingest.discover(pages, folder=folder, hot=hot)
+    assert asked == ["/cls/4"]  # the levels that were complete are read
+    want = [("Cat", None, None, True), ("Go", 731, "A > Go", True), ("X", 3, "A > X", False), ("Z", 9, "A > deep > Z", False)]
+    assert listing(found, "name", "user_count", "category_path", "is_hot") == want
+    store = S.Store(spark, str(tmp_path / "store"))
+    assert ingest.discover_into(store, pages, hot, NOW) == ingest.discover_into(store, pages, hot, NOW + 1) == 4
+    assert listing(store.read("boards"), "name", "user_count", "category_path", "is_hot") == want
+    assert len({r.id for r in store.read("boards").collect()}) == 4
+    with pytest.raises(Exception, match="no boards"):
+        ingest.hot_listed(spark.createDataFrame([("<p>",)], "body string")).collect()
+
+
 def test_pages_are_ingested_by_a_stream(spark, tmp_path):
     store = S.Store(spark, str(tmp_path / "store"))
     store.commit(boards=S.upsert_boards(store.read("boards"), spark.createDataFrame([("B",)], "name string"), NOW))
