@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[dict, int], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir), NOW)
         if sql:
-            ORACLES[name] = oracle(sql.replace("{now}", str(NOW)))
+            own = f"select * from ({sql})" if sql.startswith("with ") else sql  # the views' WITH comes before
+            ORACLES[name] = oracle(own.replace("{now}", str(NOW)))
         return f
 
     return register
@@ -553,3 +554,6 @@ def page_contents(t, now):
     return t["pages"].select("page_id", H.parse_web_page(F.col("html")).alias("p")).select(
         "page_id", "p.title", F.size("p.links").cast("long").alias("n_links"), F.length("p.text").cast("long").alias("n_chars")
     )
+
+
+from . import transitions  # noqa: E402,F401  (registers its queries)
