@@ -387,10 +387,23 @@ def filtered_articles(t: Tables, now: int, limit: int = 50, min_age: int = 0) ->
     return _loaded(rows, F.col("net_count").desc_nulls_last(), limit=limit)
 
 
-def insight_queue(t: Tables, now: int, fresh_after: int, limit: int = 50, min_net: int = 20) -> DataFrame:
-    """Pending articles, then stale ones, with their pushes in order; a job instead of a query each."""
-    rows = pending_articles(t, now, limit, min_net).withColumn("stale", F.lit(False))
-    rows = rows.unionByName(stale_articles(t, now, fresh_after, limit, min_net).withColumn("stale", F.lit(True)))
+def insight_queue(t: Tables, now: int, fresh_after: int, limit: int = 50, min_net: int = 20, gap: int = 3600) -> DataFrame:
+    """Pending articles, then stale ones (an article may be both), with their pushes in order.
+
+    Articles meet their insights once; both limits are ranks within one window, of which Spark keeps the first
+    rows before it shuffles.
+    """
+    rows = _with_insight(t).where("deleted_at is null").where(_worth(min_net))
+    fresh = (F.col("posted_at") > fresh_after) & (F.col("last_fetched_at") > F.col("generated_at")) & (F.col("generated_at") < now - gap)
+    stale = F.coalesce(F.col("insight_id").isNotNull() & F.col("error").isNull() & fresh, F.lit(False))
+    pending = insight_state(now).isin("pending", "outdated")
+    kinds = F.filter(F.array(F.when(pending, False), F.when(stale, True)), lambda k: k.isNotNull())
+    rows = rows.withColumn("stale", F.explode(kinds))
+    first = F.when(F.col("stale"), F.col("posted_at")).otherwise(F.col("net_count"))
+    then = F.when(~F.col("stale"), F.col("posted_at"))
+    by_kind = Window.partitionBy("stale").orderBy(first.desc_nulls_last(), then.desc_nulls_last(), F.desc("id"))
+    rows = rows.withColumn("_n", F.row_number().over(by_kind)).where(F.col("_n") <= limit)
+    rows = rows.select("id", "board_id", "title", "author", "content", "net_count", "posted_at", "stale")
     # two limits bound the queue, so it can be broadcast to keep only its own pushes
     own = t["pushes"].join(F.broadcast(rows.select(F.col("id").alias("article_id"))), "article_id", "left_semi")
     return rows.join(ordered_pushes(own), F.col("id") == F.col("article_id"), "left").drop("article_id")

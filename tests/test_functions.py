@@ -13,22 +13,22 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first().x
 
 
-T0 = 1786179612  # 2026-08-08 17:00:12 in UTC+8
+T0 = 1402207451  # 2014-06-08 14:04:11 in UTC+8
 
 
 @pytest.mark.parametrize(
     "text,want",
-    [("Sat Aug  8 17:00:12 2026", T0), ("Sat Aug 8 17:00:12 2026", T0), ("Xyz Aug 08 17:00:12 2026", T0), ("Sat Foo 8 17:00:12 2026", None), ("no", None), (None, None)],
+    [("Sun Jun  8 14:04:11 2014", T0), ("Sun Jun 8 14:04:11 2014", T0), ("Xyz Jun 08 14:04:11 2014", T0), ("Sun Foo 8 14:04:11 2014", None), ("no", None), (None, None)],
 )
 def test_posted_at(spark, text, want):
     assert one(spark, X.posted_at(F.col("a")), a=text) == want
 
 
 def test_times(spark):
-    assert one(spark, X.list_date(F.col("a")), a=T0) == " 8/8"
+    assert one(spark, X.list_date(F.col("a")), a=T0) == " 6/8"
     assert one(spark, X.list_date(F.col("a")), a=None) in ("", None)
-    assert one(spark, X.article_time(F.col("a")), a=T0) == "Sat Aug  8 17:00:12 2026"
-    for age, want in ((5, "剛剛"), (61, "1 分鐘前"), (7300, "2 小時前"), (90000, "昨天"), (200000, "2 天前"), (700000, "07/31")):
+    assert one(spark, X.article_time(F.col("a")), a=T0) == "Sun Jun  8 14:04:11 2014"
+    for age, want in ((5, "剛剛"), (61, "1 分鐘前"), (7300, "2 小時前"), (90000, "昨天"), (200000, "2 天前"), (700000, "05/31")):
         assert one(spark, X.relative_time(F.lit(T0 - age), T0 + 0), a=1) == want
 
 
@@ -40,8 +40,8 @@ def test_nrec_class(spark, raw, want):
 
 
 def test_links(spark):
-    got = one(spark, X.article_url_parts(F.col("a")), a="https://x/bbs/Go/M.1786179612.A.1F2.html")
-    assert tuple(got) == ("Go", "M.1786179612.A.1F2", 1786179612)
+    got = one(spark, X.article_url_parts(F.col("a")), a="https://x/bbs/Go/M.1402207451.A.1F2.html")
+    assert tuple(got) == ("Go", "M.1402207451.A.1F2", 1402207451)
     assert one(spark, X.article_url_parts(F.col("a")), a="/bbs/Go/index.html") is None
     assert one(spark, X.url_id_time(F.col("a")), a="G.1.A") is None
     assert one(spark, X.index_url(F.lit("B"), F.lit(0)), a=1) == "/bbs/B/index.html"

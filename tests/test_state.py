@@ -205,14 +205,14 @@ def test_discovery_goes_on_and_is_stored_with_hot_flags(spark, tmp_path):
 def test_pages_are_ingested_by_a_stream(spark, tmp_path):
     store = S.Store(spark, str(tmp_path / "store"))
     store.commit(boards=S.upsert_boards(store.read("boards"), spark.createDataFrame([("B",)], "name string"), NOW))
-    landed = [("/bbs/B/M.1786179612.A.1F2.html", 1, 200, ARTICLE), ("/bbs/B/index.html", 1, 200, INDEX), ("/bbs/B/M.2.A.0.html", 1, 404, None), ("/bbs/Z/M.3.A.0.html", 1, 200, ARTICLE)]
+    landed = [("/bbs/B/M.1402207451.A.1F2.html", 1, 200, ARTICLE), ("/bbs/B/index.html", 1, 200, INDEX), ("/bbs/B/M.2.A.0.html", 1, 404, None), ("/bbs/Z/M.3.A.0.html", 1, 200, ARTICLE)]
     from forumlens.sources import pages as P
 
     spark.createDataFrame(landed, P.LANDED).write.parquet(str(tmp_path / "pages"))
     for _ in range(2):
         SI.ingest_pages(P.landed_stream(spark, str(tmp_path / "pages")), store, str(tmp_path / "cp"), lambda: NOW).awaitTermination()
     SI.apply_article_pages(store, P.landed_pages(spark, str(tmp_path / "pages")), NOW)
-    assert listing(store.read("articles"), "id", "title", "author", "posted_at", "net_count", "ip") == [(1, "Hello", "someone", 1786179612, 0, "192.0.2.7")]
+    assert listing(store.read("articles"), "id", "title", "author", "posted_at", "net_count", "ip") == [(1, "Hello", "someone", 1402207451, 0, "192.0.2.7")]
     assert listing(store.read("pushes"), "article_id", "seq", "tag") == [(1, 0, "推"), (1, 1, "噓"), (1, 2, "→")]
     assert schemas.orphans("pushes", store.tables()).isEmpty()
 
