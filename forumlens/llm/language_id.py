@@ -150,7 +150,7 @@ def fit(
     rows = rows.where(eligible)
     # rows far behind in a language's order go before the ranking, so a frequent language isn't gathered
     span = 1 << 40
-    keyed = rows.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(span)).alias("hash"))
+    keyed = rows.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(span)).alias("hash")).distinct()  # an id counts once
     sizes = keyed.groupBy("lang").agg(F.count("*").alias("all"))
     # a row for each language, as many as the filters themselves hold
     ahead = keyed.join(F.broadcast(sizes), "lang").where(F.col("hash") * F.col("all").cast("double") <= span * (1.5 * sample_per_language + 100))
@@ -161,7 +161,8 @@ def fit(
     if not ids:
         return Filters([], [])
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
-    sample = rows.join(F.broadcast(picked), "id").select("lang", "text")
+    # of several rows of an id the smallest text of each of its languages is taken
+    sample = rows.join(F.broadcast(picked), "id").groupBy("id", "lang").agg(F.min(F.struct("text")).alias("t")).select("lang", "t.text")
 
     def run(batches):
         for batch in batches:

@@ -99,3 +99,13 @@ def test_language_held_out(spark):
     held = [r for r in got if r.held_out]
     assert len(got) == len(truth) and held
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) / len(held) >= 0.97
+
+
+def test_an_id_of_many_rows_is_learned_from_once(spark):
+    rows = [(i, f"some words of the text number {i} stand here", "en") for i in range(40)] + [(100 + i, f"quelques mots du texte numéro {i} ici", "fr") for i in range(40)]
+    kind = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, kind)
+    again = docs.union(spark.range(10_000).select(F.lit(7).cast("long"), F.lit(rows[7][1]), F.lit("en")))
+    once, many = (language_id.fit(d, F.lit(True), sample_per_language=30) for d in (docs, again))
+    assert once.languages == many.languages == ["en", "fr"]
+    assert all((a == b).all() for a, b in zip(once.tables, many.tables))
