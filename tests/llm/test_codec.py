@@ -88,3 +88,18 @@ def test_round_trip_in_spark(spark):
     assert all(r.text == r.back and r.round_trip for r in got)
     assert sorted((r.text is None, r.ids is None) for r in got) == [(False, False)] * 6 + [(True, True)]
     assert sp.encoded(df.limit(0)).count() == 0
+
+
+def test_long_segments_take_the_same_paths():
+    rng = random.Random(7)
+    for seed in range(3):
+        codec = toy(seed)
+        short = ["".join(rng.choice("thebac é☃") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+        for segment in {sp._marked(k) for t in short for k in codec._segments(t) if k != sp.MARKER}:
+            ids, per = codec._viterbi([segment])
+            assert per.tolist() == [len(ids)] and ids.tolist() == codec._viterbi_long(segment).tolist()
+        long = "".join(rng.choice("thebacé☃") for _ in range(3 * sp.LONG))
+        found = codec.encode([long])[0].tolist()
+        assert max(len(s) for s in codec._segments(long)) > sp.LONG
+        assert np.isclose(path_score(codec, found), best_score(codec, "▁" + long)) or np.isclose(path_score(codec, found), best_score(codec, long))
+        assert codec.decode(found) == long
