@@ -92,7 +92,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the whole text, how many they are, and whether decoding gives the text back."""
+    """doc_id, the ids of the whole text, how many they are, and whether decoding gives the text back.
+
+    A null text has null ids, a null number of them, and counts as given back; an empty text has no ids; repeated rows
+    and null ids have rows of their own. An empty table gives an empty result."""
     coded = sentencepiece_codec.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
@@ -110,7 +113,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, whether it contains a benchmark item, the best covered item and all items found."""
+    """doc_id, whether it contains a benchmark item, the best covered item and all items found.
+
+    Null and empty texts contain nothing; of equally covered items the smallest id is the best one; an empty benchmark or
+    table gives no item or no row; repeated rows and null ids have rows of their own."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.with_matches(docs, read(spark, sf_dir, "benchmark"), "found")
     best = F.array_sort(F.transform("found", lambda m: F.struct((-m["coverage"]).alias("c"), m["item_id"].alias("i"))))

@@ -109,3 +109,25 @@ def test_an_id_of_many_rows_is_learned_from_once(spark):
     once, many = (language_id.fit(d, F.lit(True), sample_per_language=30) for d in (docs, again))
     assert once.languages == many.languages == ["en", "fr"]
     assert all((a == b).all() for a, b in zip(once.tables, many.tables))
+
+
+def test_decisions_match_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    filters = language_id.fit(docs, F.lit(True), sample_per_language=60)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["x", "no 1 2", "ça là", None]
+    n = len(filters.languages)
+    held = [{s for s, mask in enumerate(filters.tables[i // language_id.GROUP].tolist()) if mask >> (i % language_id.GROUP) & 1} for i in range(n)]
+    rate = [(len(own) / (1 << language_id.SLOT_BITS)) ** language_id.HASHES for own in held]
+    for text, (lang, score) in zip(texts, filters.predict(texts)):
+        if text is None:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        hits, total = [0] * n, 0
+        for h, _ in language_id.grams([text]):
+            total += len(h)
+            for places in zip(*(s.tolist() for s in language_id.slots(h))):
+                for i in range(n):
+                    hits[i] += all(p in held[i] for p in places)
+        fixed = [max(0.0, (x - total * p) / (1 - p)) for x, p in zip(hits, rate)]
+        best = fixed.index(max(fixed))
+        assert lang == filters.languages[best] and abs(score - (fixed[best] / sum(fixed) if sum(fixed) else 0.0)) < 1e-9
