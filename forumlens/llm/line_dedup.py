@@ -26,9 +26,8 @@ what is expected of a similarity of 0.8.
 
 Lines are known by 64-bit hashes of their text; a row by the 128 bits of its id and text's MD5.
 
-Edge cases: null texts have no lines; blank lines are never linked or removed, nor short ones without ``short_lines``;
-rows with
-the same id and text count as one document and get the same answers; null ids come last in the order
+Edge cases: null texts have no lines; blank lines are never linked or removed, nor short ones without
+``short_lines``; rows with the same id and text count as one document and get the same answers; null ids come last in the order
 that decides which line is the first of its class; an empty table gives an empty result; other
 columns are passed on by ``remove_repeated_lines`` and ignored elsewhere.
 """
@@ -45,7 +44,7 @@ from .components import connected_components
 from .near_dedup import SHINGLE, SMALL_SET, WORDS, wide_fingerprint
 from .shards import shard_groups, spread_join
 from .simhash import shingle_hashes
-from .workspace import Workspace, row_key
+from .workspace import Workspace, row_key, small_batches
 
 THRESHOLD = 3
 MIN_CHARS = 16
@@ -54,6 +53,7 @@ NEAR_BITS = 64
 SMALL_NEAR_BITS = 76
 CLASSES = 8  # of characters, in the sketch that goes with a key
 BUCKET_KEYS = 500_000
+SEEN_LINES = 200_000
 TEXT_LEFT = r"(?U)[^\s\x1c-\x1f]"  # what str.strip leaves
 PACKED = np.dtype([("low", "<u4"), ("mark", "<u4"), ("line", "<i8")])
 
@@ -243,12 +243,12 @@ def _scan(rows: DataFrame, least: int, near_copies: bool) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, threshold: int, min_chars: int, buckets: int) -> DataFrame:
-    """(bucket, packed): the keys, sketches and hashes of lines not seen before in the same batch, many
+    """(bucket, packed): the keys, sketches and hashes of lines not seen shortly before in the same task, many
     to a row: a row for each key would cost the shuffle many times the lines."""
     own = threshold + 1
 
     def run(batches):
-        held, many = [], 0
+        held, many, seen = [], 0, set()
 
         def packed():
             every = np.concatenate([h[1] for h in held])
@@ -264,9 +264,10 @@ def _signatures(rows: DataFrame, threshold: int, min_chars: int, buckets: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[start[at]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
-            seen = set()
             for start in range(0, batch.num_rows, 200):
                 fresh = {}
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
                 for text in batch.column(0).slice(start, 200).to_pylist():
                     for _, s in document_lines(text, min_chars):
                         h = _hash(s)
@@ -501,6 +502,7 @@ class LineClasses:
         if threshold < 0 or min_chars <= 2 * threshold:
             raise ValueError("0 <= threshold and 2 * threshold < min_chars are needed")
         work = self.work = Workspace(docs.sparkSession)
+        small_batches(docs.sparkSession)
         self.near_copies = near_copies
         id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
         texts = docs.select(id_.alias("id"), row_key(id_, text).alias("_row"), text.alias("text"))

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_ROWS = 2000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts of at most ``BATCH_ROWS`` rows: both ends of a Python task hold a batch."""
+    held = int(spark.conf.get(_BATCHES))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def row_key(*columns: Column) -> Column:
     """128 bits that tell rows with different values or nulls apart, whatever the values."""
     parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
