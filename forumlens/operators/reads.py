@@ -426,10 +426,12 @@ def backfill_boards(t: Tables, now: int, window_bottom: int, limit: int = 1, cla
     return rows.orderBy(F.col("last_backfill_page") > 1, F.desc("user_count"), "id").limit(limit).select("id", "name", "user_count", "last_backfill_page")
 
 
-def unaudited_deletions(t: Tables, now: int, min_age: int = DAY, max_age: int = 7 * DAY, limit: int = 50) -> DataFrame:
+def unaudited_deletions(t: Tables, now: int, min_age: int = DAY, max_age: int = 7 * DAY, limit: int | None = 50) -> DataFrame:
+    """The latest deletions without an audit; all of them, in no order, if ``limit`` is None. A limit is a top-k in one task."""
     rows = t["articles"].where(F.col("deleted_at").between(now - max_age, now - min_age))
     rows = rows.join(t["deletion_audits"].select("board_id", "url_id"), ["board_id", "url_id"], "left_anti")
-    return rows.orderBy(F.desc("deleted_at"), F.desc("id")).limit(limit).select("id", "board_id", "url_id", "deleted_at")
+    rows = rows if limit is None else rows.orderBy(F.desc("deleted_at"), F.desc("id")).limit(limit)
+    return rows.select("id", "board_id", "url_id", "deleted_at")
 
 
 # status

@@ -434,7 +434,7 @@ def vanished(t, now):
        and not exists (select 1 from deletion_audits d where d.board_id = a.board_id and d.url_id = a.url_id)""",
 )
 def audit_results(t, now):
-    due = R.unaudited_deletions(t, now, max_age=3650 * DAY, limit=10**9)
+    due = R.unaudited_deletions(t, now, max_age=3650 * DAY, limit=None)
     statuses = t["articles"].select("board_id", "url_id", F.expr("case id % 3 when 0 then 200 when 1 then 404 else 503 end").alias("status"))
     return I.audit_results(due, statuses, now)
 

@@ -1,4 +1,5 @@
 import pytest
+from forumlens.plans import registry
 from forumlens import schemas
 from forumlens.operators import enrich, ingest
 from forumlens.operators import state as S
@@ -288,3 +289,9 @@ def test_hot_list(spark):
     boards = S.upsert_boards(rows(spark, "boards"), spark.createDataFrame([("Cat", "A > Cat", "x", 5)], "name string, category_path string, title string, user_count long"), 1)
     out = ingest.apply_hot_list(boards, spark.createDataFrame([(BOARDS,)], "body string"), NOW)
     assert listing(out, "name", "is_hot", "user_count", "category_path") == [("Cat", True, 0, "A > Cat"), ("Go", True, 731, None)]
+
+
+def test_all_deletions_are_audited_without_a_sort(spark):
+    """The query asks for every due deletion: nothing is ordered or gathered in one task for that."""
+    plan = registry.QUERIES["audit_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort [deleted_at" not in plan
