@@ -21,6 +21,7 @@ MIN_INTERVAL, MAX_INTERVAL = 120, 604800
 
 def index_entries(pages: DataFrame) -> DataFrame:
     """(board_id, page, body) -> a row for each entry, in the order of the page."""
+    H.bounded_batches(pages.sparkSession)
     parsed = pages.select("board_id", "page", H.parse_index(F.col("body")).alias("p"))
     rows = parsed.select("board_id", "page", "p.max_page", F.posexplode("p.entries").alias("pos", "e"))
     return rows.select("board_id", "page", "max_page", "pos", "e.*", X.url_id_time(F.col("e.url_id")).alias("url_timestamp"))
@@ -28,6 +29,7 @@ def index_entries(pages: DataFrame) -> DataFrame:
 
 def articles_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(board_id, url, body, nrec_raw, mark) -> (article rows, failures with their error)."""
+    H.bounded_batches(pages.sparkSession)
     parsed = pages.withColumn("p", H.parse_article(F.col("body"), F.col("url")))
     good = parsed.where("p.error is null").select(
         "board_id", F.col("p.url_id").alias("url_id"), F.coalesce(X.url_id_time(F.col("p.url_id")), F.lit(0)).alias("url_timestamp"),
