@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: the pinned "now" of the registered queries: 2001-08-02 00:00 UTC
 NOW = 996710400
@@ -94,6 +95,9 @@ _VIEWS = {
         from boards b join (values ('2001-08-01', 2), ('2001-08-02', 3)) d(day, every) on b.id % d.every = 0""",
 }
 
+#: bytes of the file of pushes for each partition of entity_refs
+PART_BYTES = 2 << 20
+
 _INPUTS = ("region", "nation", "supplier", "lineitem", "orders", "customer", "part", "documents", "conversations", "events", "pages")
 
 
@@ -112,6 +116,8 @@ class Tables(dict):
     def __missing__(self, name: str) -> DataFrame:
         if name == "pushes":
             df = self["push_rows"].drop("part_id")
+        elif name == "entity_refs":
+            df = self._entity_refs()
         elif name in _VIEWS:
             sql = _text(name, "spark", self.now)
             used = [t for t in (*_INPUTS, *_VIEWS) if t != name and re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
@@ -126,6 +132,16 @@ class Tables(dict):
         self[name] = df
         return df
 
+    def _entity_refs(self) -> DataFrame:
+        """The view's rows, joined and made distinct in as many partitions as the pushes have ``PART_BYTES`` of input: partitions
+        that Spark merges by their compressed shuffle bytes hold millions of these short rows, one hash entry each."""
+        parts = max(1, -(-int(str(self["lineitem"]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES))
+        part = self["part"].select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("name"))
+        named = self["push_rows"].select("article_id", "part_id").join(part, "part_id").select("article_id", "name").repartition(parts, "article_id")
+        known = self["article_insights"].select("article_id").repartition(parts, "article_id")
+        each = named.join(known, "article_id").select("name", "article_id").distinct()
+        return each.select(F.lower("name").alias("name_norm"), "name", F.lit("產品").alias("kind"), "article_id")
+
 
 def tables(spark: SparkSession, sf_dir: str, now: int = NOW) -> Tables:
     return Tables(spark, sf_dir, now)

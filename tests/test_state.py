@@ -1,3 +1,7 @@
+import os
+import re
+
+import duckdb
 import pytest
 from forumlens.plans import registry
 from forumlens import schemas
@@ -295,3 +299,19 @@ def test_all_deletions_are_audited_without_a_sort(spark):
     """The query asks for every due deletion: nothing is ordered or gathered in one task for that."""
     plan = registry.QUERIES["audit_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Sort [deleted_at" not in plan
+
+
+def test_entity_rows_are_made_in_partitions_of_bounded_input(spark, monkeypatch):
+    """The number of partitions follows the size of the pushes' file, not the cores; the rows stay those of the view."""
+    from forumlens.sources import adapter
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(adapter, "PART_BYTES", 1 << 14)
+    refs = adapter.tables(spark, sf)["entity_refs"]
+    n = int(re.search(r"RepartitionByExpression \[article_id[^]]*\], (\d+)", refs._jdf.queryExecution().optimizedPlan().toString())[1])
+    assert n == -(-os.path.getsize(f"{sf}/lineitem.parquet") // (1 << 14)) > 1
+    con = duckdb.connect()
+    for name in ("nation", "orders", "lineitem", "customer", "part"):
+        con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    want = con.sql(adapter.oracle("select name_norm, name, kind, article_id from entity_refs")).fetchall()
+    assert sorted(map(tuple, refs.select("name_norm", "name", "kind", "article_id").collect())) == sorted(want)
