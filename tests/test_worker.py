@@ -2,6 +2,7 @@ import json
 import threading
 import time
 
+import pandas as pd
 import pytest
 from forumlens.operators import enrich, loops, pool, worker
 from forumlens.operators import state as S
@@ -365,3 +366,16 @@ def test_a_stop_ends_the_batch_in_hand_and_frees_claims(spark, tmp_path):
     assert service.release_orphans(store, NOW) == 0
     start(service.GracefulStop(apply), availableNow=True).awaitTermination(60)
     assert sorted(set(ended)) == list(range(6)) and len(ended) <= 7  # the last batch of the stop may be run again
+
+
+def test_a_bucket_of_articles_is_read_and_written_once():
+    """All articles of a bucket are worked on together: one update of state, whatever their number."""
+    frame = pd.DataFrame({"article_id": [1, 2, 3, 1], "at": [5, 5, 5, 6], "weight": [25, 3, None, -10]})
+    kept, clock = [], type("T", (), {"getCurrentProcessingTimeInMs": lambda self: 10_000})()
+    state = type("S", (), {"exists": lambda self: bool(kept), "get": lambda self: kept[-1], "update": lambda self, v: kept.append(v)})()
+    p = Q.QueueState(20, 3600, 100)
+    p.handle, p.state = None, state
+    assert [len(f) for f in p.handleInputRows((0,), iter([frame]), clock)] == [0]
+    more = pd.DataFrame({"article_id": [1, 2], "at": [7, 7], "weight": [5, 17]})
+    out = pd.concat(list(p.handleInputRows((0,), iter([more]), clock)))
+    assert len(kept) == 2 and out[["article_id", "net", "event", "number"]].values.tolist() == [[1, 20, "entered", 3], [2, 20, "entered", 2]]
