@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import sentencepiece
 from forumlens.llm import fertility, queries
 from pyspark.sql import functions as F
@@ -107,3 +109,18 @@ def test_an_id_of_many_rows_is_measured_once(spark):
     for key, own in once.items():
         for name, band in own.items():
             assert math.isclose(band.low, many[key][name].low, rel_tol=1e-6, abs_tol=1e-9) and math.isclose(band.high, many[key][name].high, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_bands_are_those_of_all_good_texts(spark):
+    """The ends of a band are the quantiles of all labelled texts, as numpy gives them."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(4, 0.3, 7000), np.full(500, 3.0)])
+    frame = pd.DataFrame({"id": range(7500), "_lang": "en", "script": "latin", "n_words": 90, "n_repeat_words": 0, "n_tokens": rng.integers(70, 900, 7500), "n_tokens_2": 100})
+    for m in fertility.MEASURES:
+        frame[m] = values
+    bands = fertility.fit_measured(spark.createDataFrame(frame), spark.range(7500))
+    x = np.log2(frame.n_tokens)
+    for name, curve in (("chars_per_token", np.zeros(3)), ("entropy", np.polyfit(x, values, 2))):
+        low, high = np.quantile(values - np.polyval(curve, x), [fertility.TAIL, 1 - fertility.TAIL])
+        room, band = fertility.WIDEN * (high - low) + 1e-6, bands["lang", "en"][name]
+        assert math.isclose(band.low, low - room, abs_tol=1e-6) and math.isclose(band.high, high + room, abs_tol=1e-6)
